@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import jaccard_join, line_dedup, quality
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
     "op7_quality_rules": quality.query,
 }
