@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, quality
+from . import decontaminate, jaccard_join, line_dedup, quality
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.query,
+    "op10_decontaminate": decontaminate.query,
     "op5_line_dedup": line_dedup.query,
     "op7_quality_rules": quality.query,
 }
