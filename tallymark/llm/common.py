@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WS), "")
 
 
+def pieces(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text column of an Arrow batch, each with about `limit` bytes at most, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > limit:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def in_share(key: Column, share: float) -> Column:
+    """Whether a row's 64-bit hash of `key` lies in the lowest `share` of all hashes: an even choice of rows."""
+    return F.xxhash64(key) <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63))
+
+
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Add columns; a column of the input with the same name (in any case) gives way to the new one."""
     taken = {n.lower() for n in new}

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, quality
+from . import (
+    byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, token_counts, token_files, url_filter,
+)
 
 QUERIES = {
+    "op1_token_files": token_files.query,
     "op2_jaccard_join": jaccard_join.query,
-    "op10_decontaminate": decontaminate.query,
+    "op3_token_counts": token_counts.query,
+    "op4_license_scan": license_scan.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_byte_bpe": byte_bpe.query,
     "op7_quality_rules": quality.query,
+    "op8_language_id": language_id.query,
+    "op9_url_filter": url_filter.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
