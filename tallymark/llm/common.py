@@ -29,14 +29,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, mode_options: dict | None = None) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The plan of df runs once, so its shuffle files go as soon as the table is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     for key, value in (mode_options or {}).items():
         writer = writer.option(key, value)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

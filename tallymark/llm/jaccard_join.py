@@ -34,6 +34,8 @@ CELL_BITS, CHUNKS = 20, 16
 #: Bits of the table of documents whose sets are needed (fixed size). More documents than bits only mean that
 #: sets are sent which no pair asks for.
 NEED_BITS = 1 << 24
+#: Passes in which pairs are verified; the sets that are moved at a time, and so the disk, go down with it.
+PASSES = 4
 
 
 def _sketch(docs: DataFrame, text: str) -> np.ndarray:
@@ -122,6 +124,15 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return alike & ((NUM + DEN) * most >= NUM * (n1 + n2))
 
 
+def _links(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Those of the pairs (a, b) that are similar enough, written pass by pass; and the paths of the passes."""
+    parts = [materialise(_verified(docs, text, doc_id, pairs.where(F.pmod(F.xxhash64("b"), F.lit(PASSES)) == k)), "links") for k in range(PASSES)]
+    out = parts[0][0]
+    for part, _ in parts[1:]:
+        out = out.union(part)
+    return out, [path for _, path in parts]
+
+
 def _verified(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose whole sets are similar enough."""
     spark = docs.sparkSession
@@ -204,7 +215,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     inside = members.join(lead, "g").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs, pairs_path = materialise(pairs, "pairs")
-    links, links_path = materialise(_verified(docs, text, doc_id, pairs), "links")
+    links, links_paths = _links(docs, text, doc_id, pairs)
 
     # Round 2: what the filters leave and the first round didn't connect.
     roots, roots_path = materialise(components(links), "roots")
@@ -222,13 +233,13 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     within = u.join(v, (F.col("u.g") == F.col("v.g")) & (F.col("u.id") < F.col("v.id")) & (F.col("u.root") != F.col("v.root"))).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
     more = cross.union(within).distinct().join(pairs, ["a", "b"], "left_anti")
     more, more_path = materialise(more, "more")
-    links2, links2_path = materialise(_verified(docs, text, doc_id, more), "links")
+    links2, links2_paths = _links(docs, text, doc_id, more)
 
     # A component's name is its least doc_id.
     merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
         links2.select("a", "b")).union(links.select("a", "b")))
     merged, merged_path = materialise(merged, "merged")
-    for path in (shared_path, pairs_path, links_path, roots_path, placed_path, more_path, links2_path):
+    for path in (shared_path, pairs_path, *links_paths, roots_path, placed_path, more_path, *links2_paths):
         drop_path(spark, path)
     named = classes.join(merged, classes["id"] == merged["node"], "left").select("set_key", F.coalesce("root", "id").alias("component"))
     rows = table.select("doc_id", "n", "set_key")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import pieces
+
 WIDTH = 5
 #: Bytes hashed at a time; bounds the working arrays whatever the length of a text.
 PIECE = 1 << 20
@@ -114,5 +116,8 @@ def sets_of(texts: pa.Array) -> list[np.ndarray]:
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches, a few MB of text each, with the shingle sets of their rows."""
     for batch in batches:
-        yield batch, sets_of(batch.column(batch.schema.get_field_index(text)))
+        texts = batch.column(batch.schema.get_field_index(text))
+        for lo, hi in pieces(texts):
+            yield batch.slice(lo, hi - lo), sets_of(texts[lo:hi])
