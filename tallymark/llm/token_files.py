@@ -90,8 +90,8 @@ class ChunkEncoder:
             core = c[:-1] if c[-1] in ".," else c
             if core.isalpha():
                 plain[c] = core.lower() if self.lower and core.isascii() else core
-        words = list(dict.fromkeys(plain.values()))
-        ids = self._joined(words, self._by_marks)
+        ids = {w: b for w in plain.values() if (b := self.known.get(w)) is not None}
+        ids.update(self._joined([w for w in dict.fromkeys(plain.values()) if w not in ids], self._by_marks))
         out = self._joined([c for c in chunks if c not in plain], self._by_offsets)
         out.update((c, ids[w] + self.tails[c[-1] if c[-1] in ".," else " "]) for c, w in plain.items())
         return out
@@ -113,20 +113,20 @@ class ChunkEncoder:
         """Ids of each text; the new chunks of all texts are encoded together."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
-        new: dict[str, None] = {}
-        for chunks in split:
-            new.update(dict.fromkeys(set(chunks).difference(known)))
-        if new and len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) > CACHE_ENTRIES:
             known.clear()
             known[""] = b""
-            new = dict.fromkeys(c for chunks in split for c in chunks if c)
-        fresh = self._ids(list(new)) if new else {}
+        parts = [list(map(known.get, chunks)) for chunks in split]
+        gaps = [[i for i, p in enumerate(ps) if p is None] if None in ps else () for ps in parts]
+        fresh = self._ids(list(dict.fromkeys(chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at)))
+        for chunks, ps, at in zip(split, parts, gaps, strict=True):
+            for i in at:
+                ps[i] = fresh[chunks[i]]
         known.update(fresh)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         for c in fresh:
             if len(c) > CACHE_CHARS:
                 del known[c]
-        return out
+        return [b"".join(ps) for ps in parts]
 
 
 def _encoder(key: str, tokenizer_json: str) -> ChunkEncoder:
