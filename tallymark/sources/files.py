@@ -14,7 +14,7 @@ def _path() -> Column:
 
 def whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(source_file, value, mtime_ms): every file under root whose name fits the glob."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(_path().alias("source_file"), "value", F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"))
 
 

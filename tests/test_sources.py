@@ -144,3 +144,58 @@ def test_databases(spark, tmp_path):
     assert sorted(r["agent"] for r in both.collect()) == ["goose", "kilo"]
     with pytest.raises(ValueError):
         read_usage(spark, {"nobody": "x"})
+
+
+def test_openclaw(spark, tmp_path):
+    def msg(i, out, t=1767000000000):
+        return {"type": "message", "id": i, "timestamp": t, "message": {"role": "assistant", "usage": {"input": 5, "output": out, "cost": {"total": 0.5}}}}
+
+    put(tmp_path / "s1.jsonl", {"type": "model_change", "modelId": "m1"}, msg("a", 1), msg("a", 1), {"type": "custom", "customType": "model-snapshot", "data": {"modelId": "m2"}}, msg("b", 2))
+    assert got(spark, "openclaw", tmp_path, *COUNTS) == [("[openclaw] m1", 5, 1, 0, 0, 0), ("[openclaw] m2", 5, 2, 0, 0, 0)]
+    event = json.dumps({"type": "model_change", "modelId": "m1"}), json.dumps(msg("a", 1)), json.dumps(msg("c", 7))
+    db(tmp_path / "agent.sqlite", "CREATE TABLE transcript_events (session_id, seq, event_json, created_at)", *[f"INSERT INTO transcript_events VALUES ('s1', {i}, '{e}', 1)" for i, e in enumerate(event)])
+    assert got(spark, "openclaw", tmp_path, *COUNTS) == [("[openclaw] m1", 5, 1, 0, 0, 0), ("[openclaw] m1", 5, 7, 0, 0, 0), ("[openclaw] m2", 5, 2, 0, 0, 0)]
+
+
+def test_droid(spark, tmp_path):
+    use = {"inputTokens": 5, "outputTokens": 2, "thinkingTokens": 3}
+    put(tmp_path / "a/s.settings.json", {"model": "custom:Claude Opus 4.5 [x]", "providerLockTimestamp": "2026-01-02T03:04:05Z", "tokenUsage": use})
+    put(tmp_path / "b/s.settings.json", {"providerLock": "anthropic", "providerLockTimestamp": "2026-01-03T03:04:05Z", "tokenUsage": {**use, "inputTokens": 9}})
+    put(tmp_path / "b/s.jsonl", "nothing", 'x Model: Sonnet 4 [y]"')
+    assert got(spark, "droid", tmp_path, *COUNTS) == [("sonnet-4", 9, 2, 0, 0, 3)]
+
+
+def test_copilot(spark, tmp_path):
+    def down(i, t, n):
+        return {"type": "session.shutdown", "id": i, "timestamp": f"2026-01-0{t}T00:00:00Z", "data": {"modelMetrics": {"m-1m": {"requests": {"count": n}, "usage": {"inputTokens": 100 * n, "cacheReadTokens": 40 * n, "outputTokens": n}}}}}
+
+    put(tmp_path / "state/s1/events.jsonl", down("a", 1, 1), down("b", 2, 3), down("b", 2, 3), down("c", 3, 3))
+    assert got(spark, "copilot", tmp_path, *COUNTS, "message_count") == [("m", 60, 1, 0, 40, 0, 1), ("m", 120, 2, 0, 80, 0, 2)]
+
+
+def test_pi(spark, tmp_path):
+    def msg(i, parent, out, t=5):
+        return {"type": "message", "id": i, "parentId": parent, "timestamp": f"2026-01-02T03:04:{t:02d}Z", "message": {"role": "assistant", "model": "m", "usage": {"input": 1, "output": out}}}
+
+    head = {"type": "session", "timestamp": "2026-01-02T03:04:30Z"}
+    put(tmp_path / "sessions/p/t_one.jsonl", head, msg("a", None, 1), msg("b", "a", 2, 6), msg("c", "a", 3, 7), msg("d", "c", 4, 8))
+    put(tmp_path / "sessions/p/t_two.jsonl", {**head, "parentSession": "t_one.jsonl"}, msg("a", None, 1), msg("c", "a", 3, 7), msg("z", "c", 9, 40))
+    assert got(spark, "pi", tmp_path, "session_id", "output_tokens", "project") == [("one", 1, "p"), ("one", 3, "p"), ("one", 4, "p"), ("two", 9, "p")]
+
+
+def test_cyberine(spark, tmp_path):
+    put(tmp_path / "r.json", {"runId": "r", "createdAt": "2026-01-02T03:04:05Z", "steps": [{"workerRuns": [{"provider": "deepseek:d1", "costModel": "free", "usage": {"inputTokens": 10, "cacheHitTokens": 4, "outputTokens": 1}}, {"provider": "codex:x", "usage": {"inputTokens": 1}}]}]})
+    put(tmp_path / "c.json", {"id": "c", "model": "m", "cacheLedger": [{"at": 1767000000000, "prompt": 9, "hit": 2, "miss": 8, "completion": 3}]})
+    put(tmp_path / "t.json", {"id": "t", "model": "m", "updatedAt": 1767000000000, "sessionTokens": {"prompt": 7, "completion": 1}})
+    assert got(spark, "cyberine", tmp_path, "session_id", *COUNTS) == [("c", "m", 8, 3, 0, 2, 0), ("r", "d1", 6, 1, 0, 4, 0), ("t", "m", 7, 1, 0, 0, 0)]
+
+
+def test_codebuff(spark, tmp_path):
+    state = {"sessionState": {"mainAgentState": {"messageHistory": [{"role": "assistant", "providerOptions": {"usage": {"outputTokens": 1}}}, {"role": "assistant", "providerOptions": {"codebuff": {"model": "deep", "usage": {"outputTokens": 6}}}}]}}}
+    rows = [{"variant": "ai", "id": "1", "metadata": {"usage": {"input_tokens": 4}, "runState": state}, "credits": 2.5}, {"variant": "user"}, {"role": "assistant", "id": "1", "metadata": {"model": "n", "usage": {"promptTokens": 5, "total": 9}}}, {"variant": "ai", "id": "2", "metadata": {"usage": {"input_tokens": 4}, "runState": state}, "credits": 2.5}]
+    f = tmp_path / "chan/projects/proj/chats/2026-01-02T03-04-05.000Z/chat-messages.json"
+    f.parent.mkdir(parents=True)
+    f.write_text(json.dumps(rows))
+    chat = "chan/proj/2026-01-02T03-04-05.000Z"
+    rows = {(r["session_id"], r["ts_ms"], r["credits"], *[r[c] for c in COUNTS]) for r in SOURCES["codebuff"](spark, str(tmp_path)).collect()}
+    assert rows == {(chat, 1767323045000, 2.5, "deep", 4, 6, 0, 0, 0), (chat, 1767323045000, None, "n", 5, 4, 0, 0, 0)}
