@@ -199,3 +199,36 @@ def test_codebuff(spark, tmp_path):
     chat = "chan/proj/2026-01-02T03-04-05.000Z"
     rows = {(r["session_id"], r["ts_ms"], r["credits"], *[r[c] for c in COUNTS]) for r in SOURCES["codebuff"](spark, str(tmp_path)).collect()}
     assert rows == {(chat, 1767323045000, 2.5, "deep", 4, 6, 0, 0, 0), (chat, 1767323045000, None, "n", 5, 4, 0, 0, 0)}
+
+
+def test_opencode(spark, tmp_path):
+    def data(i, out, cost=0.0):
+        return json.dumps({"id": i, "modelID": "m", "providerID": "p", "cost": cost, "time": {"created": 1767000000000}, "tokens": {"input": 5, "output": out, "reasoning": 1, "cache": {"read": 2, "write": 0}}})
+
+    db(tmp_path / "opencode.db", "CREATE TABLE message (id, session_id, data)", "CREATE TABLE session_message (id, session_id, type, data, time_created, seq)", "CREATE TABLE session_v2 (id, fork_session_id, fork_boundary, time_created, cost, tokens_input, tokens_output, tokens_cache_read, tokens_cache_write)",
+       f"INSERT INTO message VALUES ('a', 's1', '{data('a', 1)}')", f"INSERT INTO session_message VALUES ('a', 's1', 'assistant', '{data('a', 99)}', 5, 1), ('b', 's1', 'assistant', '{data('b', 2)}', 5, 2), ('c', 's2', 'assistant', '{data('c', 3)}', 5, 2), ('d', 's2', 'assistant', '{data('d', 4)}', 5, 3), ('e', 's3', 'assistant', '{data('e', 6)}', 5, 2)",
+       """INSERT INTO session_v2 VALUES ('s2', 's1', '{"type": "through", "messageID": "b"}', 1, 0, 0, 0, 0, 0), ('s3', 's1', '{"type": "before", "messageID": "b"}', 1, 0, 9, 9, 0, 0), ('s4', NULL, NULL, 1767000000000, 0.25, 7, 0, 0, 0)""")
+    put(tmp_path / "storage/message/s9/x.json", data("x", 8))
+    put(tmp_path / "storage/message/s1/a.json", data("a", 77))
+    assert sorted(r["output_tokens"] for r in SOURCES["opencode"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6, 8]
+    from tallymark.sources.stores import opencode
+
+    more = {r["session_id"]: (r["input_tokens"], r["cost_usd"]) for r in opencode(spark, str(tmp_path), aggregates=True).collect()}
+    assert more["s4"] == (7, 0.25) and more["s3"][0] == 5
+
+
+def test_muse(spark, tmp_path):
+    def frame(**params):
+        body = json.dumps({"method": "session/tokenUsage", "params": params}, separators=(",", ":")).encode()
+        return len(body).to_bytes(4, "little") + body
+
+    sid = "0" * 8 + "-0000-0000-0000-" + "0" * 12
+    folder = tmp_path / "sessions/2026/f1"
+    folder.mkdir(parents=True)
+    a = frame(turnId="t", modelId="llama", usage={"inputTokens": 10, "outputTokens": 2, "cacheReadTokens": 4}, sourceRange={"first": {"id": sid}})
+    b = frame(turnId="t", promptTokens=6, totalTokens=9)
+    (folder / "journal-1.bin").write_bytes(b"junk" + a + a + b + b"\x05\x00\x00\x00" + b'{"method":"session/tokenUsage"')
+    (folder / "session.jsonl").write_text('{"id":"%s","stream":{"x":1},"sequence":4,"recorded_at":1767000000123456}' % sid)
+    put(folder / "snapshot-1.json", {"continuation": {"user_items": {"t": {"recordedAt": "2026-01-02T03:04:05Z"}}, "state": {"branch": {"workspaceRoot": "/w"}}}})
+    db(tmp_path / "session-index.db", "CREATE TABLE sessions (session_id, workspace_root, model_id, session_log_path, updated_at_us)", "INSERT INTO sessions VALUES ('f1', NULL, 'idx', NULL, 5)")
+    assert got(spark, "muse", tmp_path, *COUNTS, "ts_ms", "project") == [("idx", 6, 3, 0, 0, 0, 1767323045000, "/w"), ("llama", 6, 2, 0, 4, 0, 1767000000123, "/w")]
