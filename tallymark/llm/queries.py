@@ -20,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality.ORACLE,
 }

@@ -31,6 +31,6 @@ def test_run(spark, sf):
     assert all(r["n_tokens"] > 0 and len(r["ids_sha256"]) == 64 for r in out)
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op7_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op5_line_dedup", "op7_quality_rules"])
 def test_oracle(spark, sf, name):
     assert oracle.difference(__spark_entry__.queries()[name](spark, sf), __spark_entry__.oracle_sql()[name], oracle.connect(sf)) is None
