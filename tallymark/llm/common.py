@@ -29,8 +29,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting that removes a query's shuffle files when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark settings while a table is written: a query's shuffle files go when it has ended, and Arrow batches hold so
+#: many rows at most, which bounds what a Python worker and its task hold of long texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def materialise(df: DataFrame, name: str, mode_options: dict | None = None) -> tuple[DataFrame, str]:
@@ -43,12 +44,14 @@ def materialise(df: DataFrame, name: str, mode_options: dict | None = None) -> t
     writer = df.write
     for key, value in (mode_options or {}).items():
         writer = writer.option(key, value)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         writer.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path), path
 
 
