@@ -10,7 +10,9 @@ shuffled but the words' counts, at any size of the input.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -70,26 +72,50 @@ def _bucket(k: Column) -> Column:
     return ((k.bitwiseXOR(F.shiftright(k, 13))) * 40503) % BUCKETS
 
 
+#: In a fold's state: no merge.
+NEVER = (1 << 31) - 1
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once: an expression is evaluated wherever it is named, a lambda's variable isn't."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold(word: Column, table: Column, single: Column) -> Column:
     """Ids (array<int>) of a word given as text with one character for each byte."""
+    return _let(table, lambda t: _fold(word, t, single))  # the literal stands in the plan once
+
+
+def _fold(word: Column, table: Column, single: Column) -> Column:
+    """fold() with the table as a lambda's variable.
+
+    The state is one whole number a token: its id below, above it the id that it and the next token merge into.
+    A step applies the lowest merge, the leftmost of equals, and looks up only the two pairs that it changes.
+    """
 
     def merged(a: Column, b: Column) -> Column:
-        k = F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))
-        return F.get(F.filter(F.get(table, _bucket(k).cast("int")), lambda e: F.shiftright(e, 16) == k), 0).bitwiseAND(65535).cast("int")
+        k = F.shiftleft(a, 16).bitwiseOR(b)
+        found = F.filter(F.get(table, _bucket(k).cast("int")), lambda e: F.shiftright(e, 16) == k)
+        return F.coalesce(F.get(found, 0).bitwiseAND(65535), F.lit(NEVER).cast("long"))
+
+    def token(a: Column, b: Column) -> Column:
+        return _let(a, lambda x: F.shiftleft(merged(x, b), 32).bitwiseOR(x))
 
     def step(s: Column, _: Column) -> Column:
-        # A fold's accumulator is evaluated wherever it is named; an array of one binds a value to a name.
-        ms = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(b.isNotNull(), merged(a, b)))
-        bound = F.transform(F.array(F.struct(ms.alias("m"))), lambda x: F.struct(x["m"].alias("m"), F.array_min(x["m"]).alias("least")))
+        at = lambda i: F.get(s, i).bitwiseAND(NEVER)
+        none = F.array().cast("array<bigint>")
 
-        def apply(x: Column) -> Column:
-            at = F.array_position(x["m"], x["least"]).cast("int")
-            return F.concat(F.slice(s, F.lit(1), at - 1), F.array(x["least"]), F.slice(s, at + 2, F.size(s)))
+        def apply(m: Column, p: Column) -> Column:  # p counts from 1
+            before = F.when(p > 1, F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), F.array(token(at(p - 2), m)))).otherwise(none)
+            return F.concat(before, F.array(token(m, at(p + 1))), F.slice(s, p + 2, F.size(s)))
 
-        return F.get(F.transform(bound, lambda x: F.when(x["least"].isNull(), s).otherwise(apply(x))), 0)
+        place = lambda m: F.array_position(F.transform(s, lambda x: F.shiftright(x, 32)), m).cast("int")
+        return _let(F.shiftright(F.array_min(s), 32), lambda m: F.when(m == NEVER, s).otherwise(_let(place(m), lambda p: apply(m, p))))
 
-    chars = F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c)))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), chars, step)
+    chars = F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c)).cast("long"))
+    pairs = _let(chars, lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.shiftleft(merged(a, b), 32).bitwiseOR(a)))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), pairs, step)
+    return F.transform(folded, lambda x: x.bitwiseAND(NEVER).cast("int"))
 
 
 def _as_chars(b: bytes) -> str:
@@ -102,10 +128,9 @@ def _word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for batch in batches:
-            counts: dict[str, int] = {}
+            counts: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
-                for w in find(t or ""):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(find(t or ""))
             kept = {b: n for w, n in counts.items() if len(b := w.encode()) <= LONGEST}
             yield pa.RecordBatch.from_arrays([pa.array([_as_chars(b) for b in kept], pa.string()), pa.array(kept.values(), pa.int64())], ["word", "n"])
 
@@ -133,14 +158,8 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
-def encode(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = FREQUENT
-) -> DataFrame:
-    """df with a column of token ids (array<int>), as an encoder without special tokens gives them.
-
-    Null and empty texts have no ids. A column of df with the new one's name is replaced. Rows are encoded
-    one by one: ties, repeated rows and empty tables need no rule. ranks_path is read on the driver.
-    """
+def _folded(df: DataFrame, ranks_path: str, pattern: str, text: str, ids: str, frequent: int) -> tuple[DataFrame, list[str]]:
+    """df's other columns with __ids, where -1 - k stands for the k-th rare word of the row, and __more, the ids of those."""
     spark: SparkSession = df.sparkSession
     python_ready(spark)
     table, single = _literals(Ranks(ranks_path))
@@ -195,11 +214,51 @@ def encode(
     schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
     work = work.mapInArrow(run, f"{schema}{', ' if schema else ''}__ids array<int>, __rare array<string>")
     cols = [f"c{i}" for i in range(len(rest))]
-    work = work.select(*cols, "__ids", F.transform("__rare", lambda w: fold(w, table, single)).alias("__more"))
-    full = F.when(F.size("__more") == 0, F.col("__ids")).otherwise(
-        F.flatten(F.transform("__ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("__more"), -1 - i))))
-    )
-    return work.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], full.alias(ids))
+    more = F.transform("__rare", lambda w: fold(w, table, single))
+    return work.select(*[F.col(c).alias(n) for c, n in zip(cols, rest, strict=True)], "__ids", more.alias("__more")), rest
+
+
+def encode(
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = FREQUENT
+) -> DataFrame:
+    """df with a column of token ids (array<int>), as an encoder without special tokens gives them.
+
+    Null and empty texts have no ids. A column of df with the new one's name is replaced. Rows are encoded
+    one by one: ties, repeated rows and empty tables need no rule. ranks_path is read on the driver.
+    """
+    work, rest = _folded(df, ranks_path, pattern, text, ids, frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _assembled(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
+            flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+            ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names[:-2], "ids"])
+
+    plain = work.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "__ids", "__more")
+    schema = "".join(f"c{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest)) + "ids array<int>"
+    return plain.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids))
+
+
+def _assembled(ids: pa.Array, more: pa.Array) -> list[np.ndarray]:
+    """Ids of each row: a negative one, -1 - k, stands for all ids of the row's k-th rare word."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    words_, word_ends = more.values, more.offsets.to_numpy()
+    rare, rare_ends = words_.values.to_numpy(zero_copy_only=False), words_.offsets.to_numpy()
+    out = []
+    for i in range(len(ids)):
+        row = flat[ends[i] : ends[i + 1]]
+        k = word_ends[i]
+        if word_ends[i + 1] > k:
+            starts, lengths = rare_ends[:-1], np.diff(rare_ends)
+            hole = row < 0
+            which = np.where(hole, k - 1 - row, 0)
+            n = np.where(hole, lengths[which], 1)
+            stops = np.cumsum(n)
+            inside = np.arange(int(stops[-1])) - np.repeat(stops - n, n)
+            row = np.where(np.repeat(hole, n), rare[np.minimum(np.repeat(np.where(hole, starts[which], 0), n) + inside, max(len(rare) - 1, 0))], np.repeat(row, n))
+        out.append(row.astype(np.int32, copy=False))
+    return out
 
 
 _INDEX: dict = {}
@@ -219,15 +278,24 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded"
     return replace_columns(df, {to: F.unhex(F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(pieces, i)), ""))})
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    coded = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")), ranks_path, pattern, "__t").select("doc_id", "ids")
-    back = decode(coded, ranks_path)
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, from its ids and from the pieces they decode to."""
+    work, _ = _folded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")), ranks_path, pattern, "__t", "ids", frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(Ranks(ranks_path).pieces)  # the fixed vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = shared.value.__getitem__
+        name_of = [str(i) for i in range(len(shared.value))].__getitem__
+        for batch in batches:
+            n, ids, decoded = [], [], []
+            for row in _assembled(batch.column(1), batch.column(2)):
+                row = row.tolist()
+                n.append(len(row))
+                ids.append(hashlib.sha256(" ".join(map(name_of, row)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(bytes_of, row))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return work.select("doc_id", "__ids", "__more").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
