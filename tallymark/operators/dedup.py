@@ -54,7 +54,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, root) of an undirected graph by propagation of least labels with pointer jumping.
 
     Each round is a map-side combined aggregation; lineage is cut with checkpoint() where the session has a
-    checkpoint folder. Ends when no label changes.
+    checkpoint folder. Ends when no label changes; raises if labels still move after `rounds` rounds.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     cut = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d)
@@ -69,4 +69,6 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         label = hop
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return label.select(F.col("x").alias("node"), "root")

@@ -185,15 +185,24 @@ def dedup_best_tokens(spark, sf_dir):
     return dedup.best_request(usage_view(spark, sf_dir), total_tokens()).select("seq", "message_id", "request_id")
 
 
+def _components(u: DataFrame) -> DataFrame:
+    edges = u.select(F.concat(F.lit("u"), "user_id").alias("a"), F.concat(F.lit("k"), F.col("user_id") % 25, F.lit("-"), F.floor(F.col("k") / 90)).alias("b")).distinct()
+    return dedup.components(edges, "a", "b")
+
+
 @query("dedup_components", f"""WITH RECURSIVE {USAGE_SQL},
 d AS (SELECT DISTINCT 'u' || user_id AS a, 'k' || (user_id % 25) || '-' || (k // 90) AS b FROM u WHERE k >= 85),
 g AS (SELECT a AS x, b AS y FROM d UNION SELECT b, a FROM d),
 r AS (SELECT x AS node, x AS root FROM g UNION SELECT g.y, r.root FROM r JOIN g ON g.x = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def dedup_components(spark, sf_dir):
-    u = usage_view(spark, sf_dir).where("k >= 85")
-    edges = u.select(F.concat(F.lit("u"), "user_id").alias("a"), F.concat(F.lit("k"), F.col("user_id") % 25, F.lit("-"), F.floor(F.col("k") / 90)).alias("b")).distinct()
-    return dedup.components(edges, "a", "b")
+    return _components(usage_view(spark, sf_dir).where("k >= 85"))
+
+
+@query("dedup_components_all")
+def dedup_components_all(spark, sf_dir):
+    """dedup_components over every row: the recursive SQL of that query covers rows with k >= 85 only."""
+    return _components(usage_view(spark, sf_dir))
 
 
 # Order-dependent operators

@@ -95,3 +95,28 @@ def test_dedup_keeps_rows_without_key(spark):
     rows = spark.createDataFrame([(1, "k"), (2, "k"), (3, None), (4, None)], "seq long, k string")
     assert sorted(r["seq"] for r in dedup.keep_best(rows, ["k"], [F.col("seq")], F.col("k").isNotNull()).collect()) == [2, 3, 4]
     assert sorted(r["seq"] for r in dedup.first_by(rows, ["k"], ["seq"], F.col("k").isNotNull()).collect()) == [1, 3, 4]
+
+
+def test_components_cover_every_row(spark):
+    folder = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).collect()
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in events:
+        a, b = top(f"u{r['user_id']}"), top(f"k{r['user_id'] % 25}-{r['k'] // 90}")
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in QUERIES["dedup_components_all"](spark, folder).collect()}
+    assert got == {x: top(x) for x in root} and len(got) == 200
+
+
+def test_components_raise_when_unsettled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {r["root"] for r in dedup.components(path, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        dedup.components(path, "a", "b", rounds=1)
