@@ -1,20 +1,26 @@
 """Operator 10, benchmark decontamination: find benchmark items in documents, also with other numbers and names.
 
 Words become template words: numbers, names and units turn into typed placeholders, other words lose case and
-punctuation. Windows of eight template words of the items are hash-joined with those of the documents; where
-enough windows of an item meet along one alignment, its slots are checked: one value must stand for one value.
+punctuation. A run of names, or of numbers and their units, is one template word, as its values may have another
+number of words. Windows of eight template words of the items are hash-joined with those of the documents; where
+enough windows of an item meet near one alignment, its slots are checked: one value must stand for one value.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import materialise, words
 
 WINDOW = 8
-#: Share of an item's windows that must meet along one alignment, and least agreement of its slots.
+#: Share of an item's windows that must meet near one alignment, and least agreement of its slots.
 COVERAGE, AGREEMENT = 0.5, 0.75
+#: Windows whose shifts differ from an alignment's by so many words count with it: words may be dropped or added.
+SLACK = 8
+#: Items with fewer template words than a window and fewer other words than this are sought without joining runs.
+LITERALS = 4
 #: Largest number of item windows that may be broadcast (about 24 bytes each in a hashed table of 64 bytes).
 BROADCAST_WINDOWS = 1_000_000
 
@@ -71,9 +77,42 @@ def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     return df.select(*keys, F.col(name).alias("w"))
 
 
-def _hashed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _begins(x: Column, before: Column, number: Column, name: Column, unit: Column) -> Column:
+    """Whether x begins a template word, given the placeholder or word before it (not null)."""
+    return ~((x == unit) | ((x == number) & before.isin(number, unit)) | ((x == name) & (before == name)))
+
+
+def _hashed(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
+    """keys with `h`: hashes of the template words; with `joined` a run of placeholders is one."""
     ws = df.select(*keys, words(F.col(text)).alias("ws"))
-    return ws.select(*keys, F.transform(_template(F.col("ws")), lambda x: F.xxhash64(x)).alias("h"))
+    h = ws.select(*keys, F.transform(_template(F.col("ws")), lambda x: F.xxhash64(x)).alias("h"))
+    if not joined:
+        return h
+    marks = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)]
+    return h.select(*keys, F.filter("h", lambda x, i: _begins(x, F.coalesce(F.get(F.col("h"), i - 1), F.lit(0)), *marks)).alias("h"))
+
+
+def _tokens(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
+    """keys with `tok`: the template words (t), and of a placeholder the value (v) and the units (u) of its run."""
+    core = lambda w: F.lower(F.regexp_replace(w, _EDGE, ""))
+    df = df.select(*keys, words(F.col(text)).alias("w"))
+    df = df.select(*keys, "w", _template(F.col("w")).alias("t"))
+    at = F.transform("t", lambda x, i: i)
+    if joined:
+        marks = [F.lit(x) for x in (NUMBER, NAME, UNIT)]
+        at = F.filter(at, lambda i: _begins(F.get(F.col("t"), i), F.coalesce(F.get(F.col("t"), i - 1), F.lit("")), *marks))
+    df = df.select(*keys, F.transform("w", core).alias("w"), "t", at.alias("at"))
+
+    def values(lo: Column, hi: Column, kind: Column) -> Column:
+        run = F.zip_with(F.slice("w", lo + 1, hi - lo), F.slice("t", lo + 1, hi - lo), lambda w, t: F.when(t == kind, w))
+        return F.array_join(F.filter(run, lambda x: x.isNotNull()), " ")
+
+    def one(lo: Column, after: Column) -> Column:
+        kind, hi = F.get(F.col("t"), lo), F.coalesce(after, F.size("t"))
+        slot = kind.isin(NUMBER, NAME, UNIT)
+        return F.struct(kind.alias("t"), F.when(slot, values(lo, hi, kind)).alias("v"), F.when(kind == NUMBER, values(lo, hi, F.lit(UNIT))).alias("u"))
+
+    return df.select(*keys, F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), one).alias("tok"))
 
 
 def find_leaks(
@@ -82,63 +121,97 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed, agreement) of each item found.
 
-    n_windows: windows of the item; n_matched: those that meet along the best alignment; n_slots: placeholders
-    there in both; n_changed: those with another value. agreement: the fewer of the item's and the document's
-    distinct slot values over their distinct pairs (1: one value for one value; 1 too without slots).
-    Items of fewer than eight words are sought by one window of their own length. Null and empty texts and
-    items hold and are nothing. Rows are told apart by (doc_id, hash of the text); equal rows count once; a
-    null doc_id is an id. Repeated item rows count once. Other columns aren't read. Empty tables give an
-    empty table. Items are bounded by a count before they are broadcast; beyond it windows meet by shuffle.
+    n_windows: windows of the item; n_matched: those that meet near the best alignment whose slots agree, within
+    SLACK words; n_slots: values (of numbers, names and units) there in both; n_changed: those that differ.
+    agreement: the fewer of the item's and the document's distinct slot values over their distinct pairs (1: one
+    value for one value; 1 too without slots). Every alignment with enough windows is checked.
+    Items of fewer than eight template words are sought by one window of their own length; where joining runs
+    leaves fewer than LITERALS words besides the placeholders of such an item, its runs aren't joined.
+    Null and empty texts and items hold and are nothing. Rows are told apart by (doc_id, hash of the text); equal
+    rows count once; a null doc_id is an id. Repeated item rows count once. Other columns aren't read. Empty tables
+    give an empty table. Items are bounded by a count before they are broadcast; beyond it windows meet by shuffle.
     """
-    spark: SparkSession = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).distinct()
+    it = _hashed(it.where("t is not null"), ["item_id", "t"], "t", True)
+    marks = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT, "")]
+    joined = (F.size("h") >= WINDOW) | (F.size(F.filter("h", lambda x: ~x.isin(*marks))) >= LITERALS)
+    it = it.select("item_id", "t", joined.alias("joined"), F.when(joined, F.size("h")).otherwise(F.size(words(F.col("t")))).alias("n"))
+    it, _ = materialise(it.where("n > 0"), "sought")
+    modes = sorted(r["joined"] for r in it.select("joined").distinct().collect()) or [True]
+    out = None
+    for mode in modes:
+        found = _find(d, it.where(F.col("joined") == mode), mode, coverage, agreement, broadcast_windows)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _find(d: DataFrame, it: DataFrame, joined: bool, coverage: float, agreement: float, broadcast_windows: int) -> DataFrame:
+    """find_leaks for items that are all sought with their runs joined, or all without."""
     keys = ["doc_id", "text_hash"]
-    it = it.select("item_id", "t", F.size(words(F.coalesce("t", F.lit("")))).alias("n")).where("n > 0")
     widths = sorted({min(WINDOW, r["n"]) for r in it.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()}) or [WINDOW]
-    dh = _hashed(d, keys, "t")
+    dh = _hashed(d, keys, "t", joined)
     hits = None
     for width in widths:
         mine = it.where(F.least("n", F.lit(WINDOW)) == width)
-        sought = _windows(_hashed(mine, ["item_id"], "t"), ["item_id"], width)
+        sought = _windows(_hashed(mine, ["item_id"], "t", joined), ["item_id"], width)
         sought = sought.select("item_id", F.size("w").alias("n_windows"), F.posexplode("w").alias("ipos", "w"))
         sought, _ = materialise(sought, "items")
         small = sought.count() <= broadcast_windows
         # The outer form, as the plain one gets a filter that the optimizer would push below the doubling and evaluate anew.
         there = _windows(dh, keys, width).select(*keys, F.posexplode_outer("w").alias("dpos", "w"))
-        found = there.join(F.broadcast(sought) if small else sought, "w").select(*keys, "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
+        found = there.join(F.broadcast(sought) if small else sought, "w")
+        found = found.select(*keys, "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).cast("long").alias("shift"), F.lit(width).alias("width"))
         hits = found if hits is None else hits.union(found)
-    per = hits.groupBy(*keys, "item_id", "shift").agg(F.count_distinct("ipos").alias("n_matched"), F.first("n_windows").alias("n_windows"))
-    best = per.groupBy(*keys, "item_id").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"), "n_windows")).alias("b"))
-    best = best.select(*keys, "item_id", (-F.col("b.back")).alias("shift"), F.col("b.n_windows").alias("n_windows"), F.col("b.n_matched").alias("n_matched"))
-    best = best.where(F.col("n_matched") >= F.ceil(F.lit(coverage) * F.col("n_windows")))
-    best, _ = materialise(best, "aligned")
-
-    # Slots of the few pairs that are left: values of the item against those of the document along the alignment.
-    wanted = best.select(*keys).distinct()
+    per = hits.groupBy(*keys, "item_id", "shift").agg(F.collect_set("ipos").alias("at"), F.first("n_windows").alias("n_windows"), F.first("width").alias("width"))
+
+    # Of each alignment the windows that meet within SLACK words of it, as stretches (lo, hi, shift) of the item.
+    ends = F.sort_array("at")
+    lone = lambda step: F.filter(ends, lambda x: ~F.array_contains(F.col("at"), x + step))
+    runs = F.zip_with(lone(-1), lone(1), lambda a, b: F.struct(a.alias("lo"), (b + F.col("width")).alias("hi"), F.col("shift").alias("shift")))
+    per = per.select(*keys, "item_id", "shift", "n_windows", "at", runs.alias("runs"))
+    near = Window.partitionBy(*keys, "item_id").orderBy("shift").rangeBetween(-SLACK, SLACK)
+    lines = per.select(
+        *keys, "item_id", "shift", "n_windows", F.size(F.array_distinct(F.flatten(F.collect_list("at").over(near)))).alias("n_matched"),
+        F.flatten(F.collect_list("runs").over(near)).alias("runs"),
+    )
+    lines = lines.where(F.col("n_matched") >= F.ceil(F.lit(coverage) * F.col("n_windows")))
+    lines = lines.groupBy(*keys, "item_id").agg(F.collect_list(F.struct("shift", "n_windows", "n_matched", "runs")).alias("lines"))
+    lines, _ = materialise(lines, "aligned")
+
+    # Slots of the few pairs that are left: values of the item against those of the document, by the stretch nearest to each.
+    wanted = lines.select(*keys).distinct()
     same = d["doc_id"].eqNullSafe(wanted["doc_id"]) & (d["text_hash"] == wanted["text_hash"])
-    texts = d.join(wanted, same, "left_semi").dropDuplicates(keys)
-    b = best.alias("b")
+    texts = _tokens(d.join(wanted, same, "left_semi").dropDuplicates(keys), keys, "t", joined)
+    b, x = lines.alias("b"), _tokens(it, ["item_id"], "t", joined).alias("i")
     full = b.join(texts.alias("d"), F.col("b.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("b.text_hash") == F.col("d.text_hash"))).join(
-        it.alias("i"), F.col("b.item_id").eqNullSafe(F.col("i.item_id"))
-    ).select("b.*", words(F.col("d.t")).alias("dw"), words(F.col("i.t")).alias("iw"))
-    full = full.select(*best.columns, "dw", "iw", _template(F.col("dw")).alias("dt"), _template(F.col("iw")).alias("itm"))
-    core = lambda w: F.lower(F.regexp_replace(w, _EDGE, ""))
-    at = lambda name, i: F.when(i + F.col("shift") >= 0, F.get(F.col(name), (i + F.col("shift")).cast("int")))
-    slots = F.transform(
-        "itm",
-        lambda t, i: F.when(
-            t.isin(NUMBER, NAME, UNIT) & (at("dt", i) == t), F.struct(core(F.get(F.col("iw"), i)).alias("a"), core(at("dw", i)).alias("b"))
-        ),
-    )
-    full = full.select(*best.columns, F.filter(slots, lambda x: x.isNotNull()).alias("s"))
+        x, F.col("b.item_id").eqNullSafe(F.col("i.item_id"))
+    ).select("b.*", F.col("d.tok").alias("dt"), F.col("i.tok").alias("it"))
+    # Of the document only the stretch around an alignment goes on with it.
+    first = lambda a: F.greatest(a["shift"] - SLACK, F.lit(0)).cast("int")
+    part = F.transform("lines", lambda a: F.struct(a.alias("a"), first(a).alias("from"), F.slice("dt", first(a) + 1, F.size("it") + 2 * SLACK).alias("part")))
+    full = full.select(*keys, "item_id", "it", F.explode(part).alias("p")).select(*keys, "item_id", "it", "p.a.*", "p.from", "p.part")
+
+    def away(r: Column, k: Column) -> Column:
+        gap = F.greatest(r["lo"] - k, k - r["hi"] + 1, F.lit(0))
+        return F.struct(gap.alias("gap"), F.abs(r["shift"] - F.col("shift")).alias("off"), r["shift"].alias("shift"))
+
+    paired = F.transform("it", lambda x, k: F.struct(
+        x.alias("x"), F.when(x["v"].isNotNull(), (k + F.array_min(F.transform("runs", lambda r: away(r, k)))["shift"] - F.col("from")).cast("int")).alias("at")))
+    full = full.select(*keys, "item_id", "shift", "n_windows", "n_matched", "part", F.filter(paired, lambda p: p["at"] >= 0).alias("p"))
+    pairs = F.transform("p", lambda p: F.struct(p["x"].alias("x"), F.get(F.col("part"), p["at"]).alias("y")))
+    full = full.select(*keys, "item_id", "shift", "n_windows", "n_matched", F.filter(pairs, lambda p: p["x"]["t"] == p["y"]["t"]).alias("p"))
+    values = lambda f: F.transform("p", lambda p: F.struct(p["x"][f].alias("a"), p["y"][f].alias("b")))
+    slots = F.concat(values("v"), F.filter(values("u"), lambda q: (q["a"] != "") & (q["b"] != "")))
+    full = full.select(*keys, "item_id", "shift", "n_windows", "n_matched", slots.alias("s"))
     n_pairs, n_a, n_b = (F.size(F.array_distinct(x)) for x in (F.col("s"), F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"])))
     out = full.select(
         *keys, "item_id", F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.size("s").cast("long").alias("n_slots"),
         F.size(F.filter("s", lambda x: x["a"] != x["b"])).cast("long").alias("n_changed"),
-        F.when(n_pairs > 0, F.least(n_a, n_b) / n_pairs).otherwise(F.lit(1.0)).alias("agreement"),
-    )
-    return out.where(F.col("agreement") >= agreement)
+        F.when(n_pairs > 0, F.least(n_a, n_b) / n_pairs).otherwise(F.lit(1.0)).alias("agreement"), (-F.col("shift")).alias("back"),
+    ).where(F.col("agreement") >= agreement)
+    best = F.max(F.struct("n_matched", "agreement", "back", "n_windows", "n_slots", "n_changed")).alias("b")
+    return out.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", *[f"b.{c}" for c in ("n_windows", "n_matched", "n_slots", "n_changed", "agreement")])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

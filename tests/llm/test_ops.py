@@ -327,3 +327,33 @@ def test_decontaminate(spark, docs, odd, empty, sf):
     assert planted <= {r["doc_id"] for r in decontaminate.find_leaks(docs, bench).collect()}
     assert decontaminate.decontaminate(odd, bench).count() == odd.count() and decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.decontaminate(df, items.where("false")).count() == 5
+
+
+ITEM = "every clerk in that shop sold 12 long red ribbons before noon to Maria who then gave them back for 3 dollars without any receipt"
+
+
+def leaks(spark, texts, item=ITEM):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    return {r["doc_id"]: r for r in decontaminate.find_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_decontaminate_values_of_another_length(spark):
+    head = "some words come first and "
+    texts = [
+        head + ITEM.replace("Maria", "Anna Olga Petrova").replace("12", "7"), head + ITEM.replace("3 dollars", "$3").replace("Maria", "Eva Lind"),
+        head + ITEM.replace("before noon", "well before noon"), head + ITEM.replace("long red", "red"), head + "a text about nothing of the kind " * 5,
+    ]
+    got = leaks(spark, texts)
+    assert sorted(got) == [0, 1, 2, 3] and all(r["agreement"] == 1 for r in got.values())
+    assert got[0]["n_matched"] == got[0]["n_windows"] == got[1]["n_matched"] and (got[0]["n_slots"], got[0]["n_changed"]) == (4, 2)
+    assert got[2]["n_changed"] == got[3]["n_changed"] == 0 and got[2]["n_slots"] == 4 and got[3]["n_slots"] >= 3
+    short = leaks(spark, ["they add 5 and go", "they add 1 2 3 4 5 6 7 8 9 and go"], "Add 1 2 3 4 5 6 7 8 9")
+    assert sorted(short) == [1]
+
+
+def test_decontaminate_checks_every_alignment(spark):
+    item = "the first of two old barns holds 12 bales of dry hay and the second one holds 12 bales of wet straw"
+    wrong = item.replace("12", "40", 1).replace("12", "7", 1)
+    filler = " ".join(f"w{chr(97 + k)}" for k in range(20))
+    got = leaks(spark, [f"{filler} {wrong} {filler} {item} {filler}", f"{filler} {wrong} {filler}", f"{filler} {item}"], item)
+    assert sorted(got) == [0, 2] and got[0]["n_changed"] == 0 and got[0]["agreement"] == 1
