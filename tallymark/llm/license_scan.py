@@ -7,6 +7,7 @@ gaps between them are aligned in the same way. Coverage is the share of the temp
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -181,9 +182,37 @@ class Scanner:
                 first, last = lo + at[0][0], lo + at[-1][0] + 1
                 yield first, last, len(at)
                 todo += [(lo, first), (last, hi)]
-            elif hi - lo > 3 * n:  # copies take the uniqueness from each other's words: look at overlapping parts
-                step = max(n, (hi - lo) // 2 - n // 2)
-                todo += [(lo, lo + step + n // 2), (lo + step - n // 2, hi)] if step + n // 2 < hi - lo else []
+            elif hi - lo > n:  # copies take the uniqueness from each other's words: look at overlapping parts
+                last = lo
+                for first, stop, aligned in self._parts(words, lo, hi, template):
+                    yield first, stop, aligned
+                    todo.append((last, first))
+                    last = stop
+                if last > lo:
+                    todo.append((last, hi))
+
+    def _parts(self, words: list[str], lo: int, hi: int, template: list[str]) -> list[tuple[int, int, int]]:
+        """Aligned stretches of parts of words[lo:hi], by place; where they overlap most words win, then the shortest.
+
+        A part longer than the template by a half holds a copy whose middle stands in it once, so each width
+        takes steps by which a copy that fits with a step to spare lies whole in one part.
+        """
+        n, need, times = len(template), self.coverage * len(template), Counter(template)
+        found = set()
+        for width, step in ((n + n // 4, n // 8), (n + n // 2, n // 4), (2 * n, n // 2), (3 * n, n)):
+            for k in range(lo, max(lo, hi - width) + max(step, 1), max(step, 1)):
+                part = words[k : min(k + width, hi)]
+                if sum(times[w] for w in set(part) if w in times) < need:
+                    continue
+                at = align(part, template)
+                if len(at) >= need:
+                    found.add((len(at), k + at[0][0], k + at[-1][0] + 1))
+        out: list[tuple[int, int, int]] = []
+        for aligned, first, stop in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            place = bisect_left(out, (first, stop, aligned))
+            if (place == 0 or out[place - 1][1] <= first) and (place == len(out) or out[place][0] >= stop):
+                out.insert(place, (first, stop, aligned))
+        return out
 
 
 def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", coverage: float = COVERAGE) -> DataFrame:

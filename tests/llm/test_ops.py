@@ -357,3 +357,15 @@ def test_decontaminate_checks_every_alignment(spark):
     filler = " ".join(f"w{chr(97 + k)}" for k in range(20))
     got = leaks(spark, [f"{filler} {wrong} {filler} {item} {filler}", f"{filler} {wrong} {filler}", f"{filler} {item}"], item)
     assert sorted(got) == [0, 2] and got[0]["n_changed"] == 0 and got[0]["agreement"] == 1
+
+
+def test_license_copies_close_together():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    line = "Released under the MIT License."
+    assert scanner.scan(f"x {line} {line} y") == [("mit-line", 1, 6, 5, 5), ("mit-line", 6, 11, 5, 5)]
+    filler = " ".join(f"w{k}" for k in range(7))
+    for name in ("mit-permission", "gpl-3-notice", "mpl-2.0-notice"):
+        text, n = license_scan.TEMPLATES[name], len(scanner.words[name])
+        for copies in (2, 3, 9):
+            got = [x for x in scanner.scan(f"{filler} {' '.join([text] * copies)} {filler}") if x[0] == name]
+            assert got == [(name, 7 + n * k, 7 + n * (k + 1), n, n) for k in range(copies)], (name, copies)
