@@ -78,7 +78,7 @@ def _classes(sketch: np.ndarray) -> bytes:
 def _prefixes(docs: DataFrame, text: str, doc_id: str, classes: bytes) -> DataFrame:
     """(doc_id, n, set_key, g, prefix): size, 128-bit key of the set, group, and the prefix in global order.
 
-    Of documents of one group a task gives the prefix once only.
+    Of documents of one group a task gives the prefix once only, with the first that has a doc_id.
     """
     order_of = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -87,7 +87,8 @@ def _prefixes(docs: DataFrame, text: str, doc_id: str, classes: bytes) -> DataFr
         seen: set[int] = set()
         for batch, sets in batches_of(batches, text):
             n, keys, groups, flat, ends, given = [], [], [], [], [0], []
-            for s in sets:
+            named = batch.column(batch.schema.get_field_index(doc_id)).is_valid().to_pylist()
+            for s, has_id in zip(sets, named, strict=True):
                 k = len(s)
                 n.append(k)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if k else None)
@@ -101,7 +102,7 @@ def _prefixes(docs: DataFrame, text: str, doc_id: str, classes: bytes) -> DataFr
                 prefix = s[np.argsort(rank, kind="stable")[:length]] if rank.any() else s[:length]
                 g = xxhash.xxh3_64_intdigest(prefix.tobytes(), k) - 2**63
                 groups.append(g)
-                given.append(g not in seen)
+                given.append(has_id and g not in seen)
                 if given[-1]:
                     seen.add(g)
                     flat.append(prefix)

@@ -369,3 +369,13 @@ def test_license_copies_close_together():
         for copies in (2, 3, 9):
             got = [x for x in scanner.scan(f"{filler} {' '.join([text] * copies)} {filler}") if x[0] == name]
             assert got == [(name, 7 + n * k, 7 + n * (k + 1), n, n) for k in range(copies)], (name, copies)
+
+
+def test_jaccard_join_null_id_before_copies(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near = [base] + [base.replace(f"w{k} ", "x ", 1) for k in (3, 20, 40, 50)]
+    texts = [(None, t) for t in near] + list(enumerate(near, 1))
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], DOCS).coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(rows).collect()}
+    want = {i: c for i, (_, c) in brute_components({i: t for i, t in texts if i is not None}).items()}
+    assert got == {**want, None: None} and set(want.values()) == {1}
