@@ -1,14 +1,16 @@
 """Operator 2, n-gram Jaccard join: documents whose five-word shingle sets have a similarity of 0.75 or more.
 
-A grouped prefix join. Shingles have one global order, rare before frequent; two sets with a similarity of t
-share a shingle among the first n - ceil(t n) + 1 of each. Documents with the same prefix and size form one
-group, and only groups meet in the join; pairs of groups pass a size filter and a position filter, and then
-their members are verified on their whole sets.
-
-The result is components, so pairs that are already connected need no second proof. The first round verifies,
-for each shared prefix shingle, the pairs of the least group with each other one and of neighbours by size: as
-many pairs as postings. The second verifies every remaining pair of groups (or members) that are not connected
-yet, so no link between different texts is lost, and a large group of near copies costs rows in proportion.
+A grouped prefix join in two steps. The sieve orders shingles by hash: sets with a similarity of t share at least l
+shingles of the first n - ceil(t n) + l of each, so a set of which fewer are known from another set has no partner and
+leaves. The join orders the shingles of what is left by their exact number of sets, rare before frequent; partners
+share one of the first n - ceil(t n) + 1. Sets with the same prefix and size form one group, and only groups meet;
+pairs of groups pass a size filter and a position filter, and then their members are verified on their whole sets.
+
+The result is components, so pairs that are already connected need no second proof. The first round verifies, for each
+prefix shingle and class of sizes, the pairs of one group (that with the fewest shingles of its own before this one)
+with each other group: as many pairs as postings at most. The second verifies every remaining pair of groups or
+members that are not connected yet, so no link between different texts is lost, and a large group of near copies costs
+rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -28,142 +30,130 @@ from .shingles import batches_of
 
 #: Similarity as a fraction: 100 * shared >= 75 * union.
 NUM, DEN = 3, 4
-#: Cells of the frequency sketch (fixed size, whatever the input: 4 MB of counts, 1 MB as broadcast classes).
-#: It orders shingles only, so its error can cost time but never a link.
-CELL_BITS, CHUNKS = 20, 16
-#: Bits of the table of documents whose sets are needed (fixed size). More documents than bits only mean that
-#: sets are sent which no pair asks for.
-NEED_BITS = 1 << 24
-#: Passes in which pairs are verified; the sets that are moved at a time, and so the disk, go down with it.
-PASSES = 4
-
-
-def _sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """How many documents have a shingle in each cell, over all documents."""
-    cells = 1 << CELL_BITS
-    size = cells // CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for _, sets in batches_of(batches, text):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
-        if total.any():
-            parts = [np.minimum(total[i * size : (i + 1) * size], 2**32 - 1).astype(np.uint32).tobytes() for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                add = np.frombuffer(counts, np.uint32 if len(counts) == 4 * size else np.int64).astype(np.int64)
-                sums[chunk] = sums[chunk] + add if chunk in sums else add
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    parts = docs.select(text).mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(merge, schema)
-    out = np.zeros(cells, np.int64)
-    for row in parts.collect():
-        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
-    return out
-
-
-def _classes(sketch: np.ndarray) -> bytes:
-    """Frequency class of each cell: 0 up to twice the mean load, then one more for each doubling."""
-    usual = 2 * sketch.mean() + 8
-    return np.where(sketch <= usual, 0, 1 + np.floor(np.log2(np.maximum(sketch, usual) / usual))).astype(np.uint8).tobytes()
+#: The sieve asks for one shared shingle more for each so many shingles of a set.
+SIEVE = 10
 
 
-def _prefixes(docs: DataFrame, text: str, doc_id: str, classes: bytes) -> DataFrame:
-    """(doc_id, n, set_key, g, prefix): size, 128-bit key of the set, group, and the prefix in global order.
+def _heads(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, n, set_key, head): size, 128-bit key of the set, and its first shingles in order of their hash.
 
-    Of documents of one group a task gives the prefix once only, with the first that has a doc_id.
+    Of rows with equal sets a task gives the head once only, with the first that has a doc_id.
     """
-    order_of = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(order_of.value, np.uint8)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch, sets in batches_of(batches, text):
-            n, keys, groups, flat, ends, given = [], [], [], [], [0], []
+            n, keys, flat, ends, given = [], [], [], [0], []
             named = batch.column(batch.schema.get_field_index(doc_id)).is_valid().to_pylist()
             for s, has_id in zip(sets, named, strict=True):
                 k = len(s)
+                key = xxhash.xxh3_128_digest(s.tobytes()) if k else None
                 n.append(k)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if k else None)
-                if not k:
-                    groups.append(0)
-                    given.append(False)
-                    ends.append(ends[-1])
-                    continue
-                rank = order[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                length = k - -(-NUM * k // DEN) + 1
-                prefix = s[np.argsort(rank, kind="stable")[:length]] if rank.any() else s[:length]
-                g = xxhash.xxh3_64_intdigest(prefix.tobytes(), k) - 2**63
-                groups.append(g)
-                given.append(has_id and g not in seen)
+                keys.append(key)
+                given.append(bool(k) and has_id and key not in seen)
+                length = 0
                 if given[-1]:
-                    seen.add(g)
-                    flat.append(prefix)
-                ends.append(ends[-1] + (length if given[-1] else 0))
+                    seen.add(key)
+                    length = min(k, k - -(-NUM * k // DEN) + k // SIEVE + 1)
+                    flat.append(s[:length])
+                ends.append(ends[-1] + length)
             values = pa.array(np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64))
-            mask = pa.array([not x for x in given], pa.bool_())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([not x for x in given], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(doc_id)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), lists],
-                ["doc_id", "n", "set_key", "g", "prefix"],
+                [batch.column(batch.schema.get_field_index(doc_id)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "set_key", "head"]
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, set_key binary, g long, prefix array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, set_key binary, head array<long>")
+
+
+def _sieve(table: DataFrame, known: DataFrame) -> DataFrame:
+    """set_key of the sets that have so many head shingles from `known` (s) that they may have a partner.
+
+    The least partner has ceil(t n) shingles, and both share at least as many as the smaller one's head asks for.
+    """
+    given = table.where("head is not null")
+    hits = given.select("doc_id", F.explode("head").alias("s")).join(known.hint("shuffle_hash"), "s").groupBy("doc_id").agg(F.count("*").alias("k"))
+    least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
+    return given.select("doc_id", "n", "set_key").join(hits, "doc_id").where(F.col("k") > F.floor(least / SIEVE)).select("set_key").distinct()
+
+
+def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """(id, n, items) of the classes in `alive` (id, set_key), each once: whole sets, in order of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in batches_of(batches, "text"):
+            n = [len(s) for s in sets]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "set_key", "items"])
+
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi")
+    rows = rows.mapInArrow(run, "id long, n long, set_key binary, items array<long>").join(alive.select("id", "set_key"), ["id", "set_key"], "left_semi")
+    return rows.groupBy("id", "set_key").agg(F.first("n").alias("n"), F.first("items").alias("items")).select("id", "n", "items")
+
+
+def _entries(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """(id, n, own, p, s): the prefix shingles that other sets have, their place p in rare-first order, and how many only this set has."""
+    each = sets.select("id", "n", F.explode("items").alias("s")).join(often.hint("shuffle_hash"), "s")
+    by_id = Window.partitionBy("id")
+    own = F.col("n") - F.count("*").over(by_id)
+    ranked = each.select("id", "n", "s", own.alias("own"), F.row_number().over(by_id.orderBy("k", "s")).alias("r"))
+    ranked = ranked.select("id", "n", "own", (F.col("own") + F.col("r") - 1).alias("p"), "s")
+    return ranked.where((DEN * (F.col("n") - F.col("own")) >= NUM * F.col("n")) & (F.col("p") <= F.floor(F.col("n") / DEN)))
+
+
+def _groups(entries: DataFrame) -> DataFrame:
+    """(id, n, g): sets with the same prefix and size have the same g, the least id. A set with shingles of its own stands alone."""
+    mark = (F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y"), F.count("*").alias("k"))
+    each = entries.groupBy("id").agg(F.first("n").alias("n"), F.first("own").alias("own"), *mark)
+    shared = each.where("own = 0")
+    least = shared.groupBy("n", "k", "x", "y").agg(F.min("id").alias("g"))
+    return shared.join(least, ["n", "k", "x", "y"]).select("id", "n", "g").union(each.where("own > 0").select("id", "n", F.col("id").alias("g")))
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     """Size and position filters, if this is the first shingle (places p1, p2 from 0) that the sets share."""
-    alike = (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)) & True
+    alike = DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)
     most = F.least(n1 - p1, n2 - p2)
     return alike & ((NUM + DEN) * most >= NUM * (n1 + n2))
 
 
-def _links(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Those of the pairs (a, b) that are similar enough, written pass by pass; and the paths of the passes."""
-    parts = [materialise(_verified(docs, text, doc_id, pairs.where(F.pmod(F.xxhash64("b"), F.lit(PASSES)) == k)), "links") for k in range(PASSES)]
-    out = parts[0][0]
-    for part, _ in parts[1:]:
-        out = out.union(part)
-    return out, [path for _, path in parts]
-
-
-def _verified(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose whole sets are similar enough."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(NEED_BITS))
-    rows = (
-        pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit")).distinct()
-        .groupBy(F.floor(F.col("bit") / 63).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 as int))")).alias("m"))
-    ).toPandas()
-    table = np.zeros(NEED_BITS // 63 + 1, np.int64)
-    table[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
-    needed = spark.sparkContext.broadcast(table)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = needed.value
-        for batch in batches:
-            b = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (asked[b // 63] >> (b % 63)) & 1 == 1
-            some = batch.filter(pa.array(hit & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            for part, sets in batches_of(iter([some]), text) if some.num_rows else ():
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
+def _stars(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b): of each shingle's groups of about one size, that with the least place and each other, also of the next larger size."""
+    here = posts.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int"))
+    lead = here.groupBy("s", "size").agg(F.min(F.struct("p", "n", "g")).alias("lead"))
+    near = here.select("s", "g", "n", "p", F.explode(F.array("size", F.col("size") - 1)).alias("size")).join(lead, ["s", "size"])
+    near = near.where((F.col("g") != F.col("lead.g")) & _may_link(F.col("n"), F.col("p"), F.col("lead.n"), F.col("lead.p")))
+    return near.select(F.least("g", "lead.g").alias("a"), F.greatest("g", "lead.g").alias("b"))
+
+
+def _remaining(posts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members with different roots that share a prefix shingle and pass the filters.
+
+    Of a shingle's list the members of one root, that of the first group, meet the others only and not each other.
+    """
+    split = placed.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    lists = posts.join(split, "g").groupBy("s").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"), F.min(F.struct("p", "n", "r1")).getField("r1").alias("main"))
+    rest = posts.select("s", "g", "p").join(lists.where("r1 <> r2").select("s", "main"), "s").join(placed, "g").select("s", "p", "n", "id", "root", "main")
+    x, y = rest.where("root <> main").alias("x"), rest.drop("main").alias("y")
+    once = (F.col("y.root") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & once
+    cross = x.join(y, apart & _may_link(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    within = placed.join(split.where("r1 <> r2"), "g").select("g", "id", "root")
+    u, v = within.alias("u"), within.alias("v")
+    same = u.join(v, (F.col("u.g") == F.col("v.g")) & (F.col("u.id") < F.col("v.id")) & (F.col("u.root") != F.col("v.root")))
+    return cross.union(same.select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))).distinct()
+
 
-    sets = docs.select(F.col(doc_id).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(NEED_BITS)).alias("bit"), F.col(text))
-    sets = sets.mapInArrow(collect, "id long, items binary")
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = (z.values.to_numpy().view(np.uint64) for z in (x, y))
                 if len(u) > len(v):
                     u, v = v, u
                 at = np.searchsorted(v, u)
@@ -171,9 +161,10 @@ def _verified(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame) -> Data
                 ok.append(DEN * shared >= NUM * (len(u) + len(v) - shared) and shared > 0)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    items = sets.select("id", "items")
     joined = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+        pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        .join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     )
     return joined.mapInArrow(compare, "a long, b long")
 
@@ -183,70 +174,53 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. Texts of one to four words have one shingle, the
     whole sequence; null and empty texts have none and link with nothing. Rows with equal sets link. Rows
-    that repeat a doc_id are rows of the result each. A null doc_id links with nothing (component null).
-    Shingles are compared by 64-bit hash: within a pair of sets the chance of a wrong match is their sizes'
-    product over 2^64. Columns of docs other than these two are not read. An empty table gives an empty table.
+    that repeat a doc_id are rows of the result each, and count as one document in links. A null doc_id links
+    with nothing (component null). Shingles are compared by 64-bit hash: within a pair of sets the chance of a
+    wrong match is their sizes' product over 2^64. Columns of docs other than these two are not read. An empty
+    table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     python_ready(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    text, doc_id = "text", "doc_id"
-    table, table_path = materialise(_prefixes(docs, text, doc_id, _classes(_sketch(docs, text))), "prefixes")
-    classes = (
-        table.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"))
-    )
-    classes, classes_path = materialise(classes, "classes")
-    members = classes.select("g", "n", "id")
-
-    # Postings of groups; only shingles that two groups share go on.
-    post = table.where("prefix is not null and doc_id is not null").select("g", "n", F.posexplode("prefix").alias("p", "s"))
-    post = post.select("s", "g", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
-    by_s = Window.partitionBy("s")
-    shared = post.withColumn("lo", F.min("g").over(by_s)).withColumn("hi", F.max("g").over(by_s)).where("lo <> hi")
-    shared = shared.select("s", "g", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("p")).dropDuplicates(["s", "g"])
-    shared, shared_path = materialise(shared, "shared")
-
-    # Round 1: of each list the least group with each other, and neighbours; in a group the least member with each other.
-    order = by_s.orderBy("n", "g")
-    here, star, chain = F.struct("g", "n", "p"), F.first(F.struct("g", "n", "p")).over(order), F.lag(F.struct("g", "n", "p")).over(order)
-    near = shared.select(here.alias("y"), star.alias("x1"), chain.alias("x2")).select("y", F.explode(F.array("x1", "x2")).alias("x")).where("x is not null and x.g <> y.g")
-    near = near.where(_may_link(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))).select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).distinct()
-    lead = members.groupBy("g").agg(F.min("id").alias("lead"))
-    pairs = near.join(lead.select(F.col("g").alias("g1"), F.col("lead").alias("a")), "g1").join(lead.select(F.col("g").alias("g2"), F.col("lead").alias("b")), "g2").select("a", "b")
-    inside = members.join(lead, "g").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs, pairs_path = materialise(pairs, "pairs")
-    links, links_paths = _links(docs, text, doc_id, pairs)
-
-    # Round 2: what the filters leave and the first round didn't connect.
-    roots, roots_path = materialise(components(links), "roots")
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("g", "n", "id", F.coalesce("root", "id").alias("root"))
-    placed, placed_path = materialise(placed, "placed")
-    split = placed.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    open_s = shared.join(split, "g").groupBy("s").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("s")
-    rest = shared.select("s", "g", "p").join(open_s, "s").join(placed, "g").select("s", "p", "n", "id", "root")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-                   & _may_link(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    u, v = placed.alias("u"), placed.alias("v")
-    apart = placed.join(split.where("r1 <> r2"), "g").select("g", "id", "root")
-    u, v = apart.alias("u"), apart.alias("v")
-    within = u.join(v, (F.col("u.g") == F.col("v.g")) & (F.col("u.id") < F.col("v.id")) & (F.col("u.root") != F.col("v.root"))).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
-    more = cross.union(within).distinct().join(pairs, ["a", "b"], "left_anti")
-    more, more_path = materialise(more, "more")
-    links2, links2_paths = _links(docs, text, doc_id, more)
+    scratch: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise(df, name)
+        scratch.append(path)
+        return out
+
+    table = kept(_heads(docs, "text", "doc_id"), "heads")
+    classes = kept(table.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "classes")
+
+    # The sieve: shingles of the heads of two different sets or more, then the sets that have enough of them.
+    heads = table.where("head is not null").select(F.xxhash64("set_key").alias("k"), F.explode("head").alias("s"))
+    known = kept(heads.groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("s"), "known")
+    alive = kept(classes.join(_sieve(table, known), "set_key", "left_semi").select("id", "set_key"), "alive")
+
+    # The join over what is left.
+    sets = kept(_sets(docs, alive), "sets")
+    often = kept(sets.select(F.explode("items").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    entries = kept(_entries(sets, often), "entries")
+    members = kept(_groups(entries), "members")
+    posts = entries.join(members.where("id <> g").select("id"), "id", "left_anti").select("s", F.col("id").alias("g"), "n", "p")
+
+    inside = members.where("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    pairs = kept(_stars(posts).union(inside).distinct(), "pairs")
+    links = kept(_verified(sets, pairs), "links")
+    roots = kept(components(links), "roots")
+    placed = kept(members.join(roots, members["id"] == roots["node"], "left").select("g", "n", "id", F.coalesce("root", "id").alias("root")), "placed")
+    more = kept(_remaining(posts, placed).join(pairs, ["a", "b"], "left_anti"), "more")
+    links = links.union(kept(_verified(sets, more), "links"))
 
     # A component's name is its least doc_id.
-    merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
-        links2.select("a", "b")).union(links.select("a", "b")))
-    merged, merged_path = materialise(merged, "merged")
-    for path in (shared_path, pairs_path, *links_paths, roots_path, placed_path, more_path, *links2_paths):
-        drop_path(spark, path)
+    merged = components(links)
     named = classes.join(merged, classes["id"] == merged["node"], "left").select("set_key", F.coalesce("root", "id").alias("component"))
-    rows = table.select("doc_id", "n", "set_key")
-    out = rows.join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = table.select("doc_id", "n", "set_key").join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out, _ = materialise(out, "components")
+    for path in scratch:
+        drop_path(spark, path)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
