@@ -11,16 +11,33 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import python_ready
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
 WS = r"[\x20\x09-\x0D]+"
 
 _FALLBACK: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch at most (a longer row stands alone): what a Python worker and its task hold of long texts.
+BATCH_BYTES = 8 << 20
+
+
+def workers_ready(spark: SparkSession) -> None:
+    """The package on the executors, and the session's Arrow batches bounded in bytes on every path, also of returned plans."""
+    python_ready(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _FALLBACK.setdefault("root", tempfile.mkdtemp(prefix="tallymark-scratch-"))
     return root.rstrip("/")
 

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..shipping import python_ready
-from .common import components, drop_path, materialise
+from .common import components, drop_path, materialise, workers_ready
 from .shingles import batches_of
 
 #: Similarity as a fraction: 100 * shared >= 75 * union.
@@ -180,7 +179,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scratch: list[str] = []
 

@@ -15,8 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import python_ready
-from .common import in_share, pieces
+from .common import in_share, pieces, workers_ready
 
 #: Bound of the training sample: documents of each language (twice as many at most).
 TRAIN_DOCS = 1500
@@ -138,7 +137,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     tasks; a task gives one row a language, and the driver gets one row a language of fixed size.
     """
     spark = docs.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     counts = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not counts:
@@ -192,7 +191,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
     these names are replaced. Whole texts count. Equal texts are judged alike; an empty table gives an empty one.
     """
     spark: SparkSession = df.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed table a language
     new = ["lang_pred", "score", *(["spans"] if spans else [])]
     rest = [c for c in df.columns if c.lower() not in new]

@@ -15,8 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import python_ready
-from .common import pieces
+from .common import pieces, workers_ready
 
 #: Least share of a template's words that must be aligned.
 COVERAGE = 0.75
@@ -226,7 +225,7 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str
     Templates are a short list of parameters. Whole texts are scanned, and no row is moved.
     """
     spark: SparkSession = df.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     new = ["license", "first_word", "n_words", "n_aligned", "coverage"]
     rest = [c for c in df.columns if c != text and c.lower() not in new]
 

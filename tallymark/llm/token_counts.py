@@ -16,8 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import python_ready
-from .common import pieces
+from .common import pieces, workers_ready
 
 #: Bounds of a Python worker's table of terminal counts: words (it starts anew beyond), and characters of a word in
 #: it. Longer words go through the same recurrence one by one.
@@ -116,7 +115,7 @@ def token_counts(df: DataFrame, model_path: str, text: str = "text") -> DataFram
     word counts doesn't depend on the words before it.
     """
     spark: SparkSession = df.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     vocabulary = load_pieces(model_path)
     key = hash(tuple(vocabulary))
     shared = spark.sparkContext.broadcast(vocabulary)

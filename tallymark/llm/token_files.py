@@ -26,8 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import python_ready
-from .common import drop_path, in_share, materialise, new_path, pieces
+from .common import drop_path, in_share, materialise, new_path, pieces, workers_ready
 
 #: Bounds of the dictionary and of its training sample: documents (twice as many at most) and characters of each.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 16, 1000, 8000
@@ -172,7 +171,7 @@ def write_token_files(
     decides how small the frames get. The frames go through the shared folder and one range shuffle.
     """
     spark: SparkSession = docs.sparkSession
-    python_ready(spark)
+    workers_ready(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
@@ -241,7 +240,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     start: ids of all documents before it in the files. With doc_ids only their blocks are read and only their
     frames are decompressed. A block whose dictionary hash isn't that of the dictionary there is an error.
     """
-    python_ready(spark)
+    workers_ready(spark)
     head = spark.read.parquet(f"{path}/dictionary").first()
     dictionary, dict_hash, width = bytes(head["dictionary"]), head["dict_hash"], head["width"]
     if hashlib.sha256(dictionary).hexdigest() != dict_hash:

@@ -220,23 +220,31 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_byte_bpe(spark, docs, odd, empty, encoding):
-    rows = docs.where("doc_id < 40").unionByName(odd.where("doc_id is not null and doc_id <> 7"))
-    out = byte_bpe.digests(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
-    texts = {r["doc_id"]: r["text"] for r in odd.collect()} | {}
-    assert len(out) == rows.count()
+def expected_digests(encoding, rows):
     want = Counter()
-    for r in rows.collect():
+    for r in rows:
         ids = encoding.encode_ordinary(r["text"] or "")
         want[(r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out) == want and texts
+    return want
+
+
+def test_byte_bpe(spark, docs, odd, empty, encoding):
+    rng = np.random.default_rng(5)
+    blob = "".join(map(chr, rng.integers(97, 123, 100_000)))
+    long = spark.createDataFrame([(900, blob, None, None, None), (901, "a" * 100_000, None, None, None), (902, f"x {'-' * 70}{blob[:90]} y", None, None, None)], DOCS)
+    rows = docs.where("doc_id < 40").unionByName(odd.where("doc_id is not null")).unionByName(long).withColumn("IDS", F.lit(0))
+    out = byte_bpe.digests(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out) == expected_digests(encoding, rows.collect())
     assert byte_bpe.digests(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
-def test_byte_bpe_without_frequent_words(spark, docs, encoding):
-    rows = docs.where("doc_id < 4")
-    out = byte_bpe.encode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, frequent=10).collect()
-    assert all(list(r["ids"]) == encoding.encode_ordinary(r["text"]) for r in out)
+def test_byte_bpe_without_frequent_words(spark, docs, odd, encoding):
+    rows = docs.where("doc_id < 4").unionByName(odd).withColumn("IDS", F.lit(0)).withColumn("many", F.array(F.struct(F.lit(1).alias("k"))))
+    made = byte_bpe.encode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, frequent=10)
+    assert [c for c in made.columns if c.lower() == "ids"] == ["ids"] and set(made.columns) >= {"many", "lang"}
+    out = byte_bpe.decode(made, P.path("byte_bpe_50k.tiktoken")).collect()
+    assert len(out) == rows.count() and all(r["many"][0]["k"] == 1 for r in out)
+    assert all(list(r["ids"]) == encoding.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() for r in out)
 
 
 # Operator 7
