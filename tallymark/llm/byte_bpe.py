@@ -1,21 +1,22 @@
 """Operator 6, byte-level BPE: encode texts by a rank file and decode ids, with folds over distinct words in Spark.
 
-A text is split by the pattern into words, once; a word's bytes are merged pair by pair, lowest rank first. Two facts
-make that a fold over whole numbers: an id is its rank, and which two ids merge into which id follows from the rank
-file alone, so the rank map is a literal table from pairs to ids. The split texts stand in a scratch table, a few MB
-of text a row, as the row's distinct words and the words' numbers. The most frequent words are folded once each, and
-their ids, a table of bounded size, are broadcast; a row's other distinct words are folded once for the row. Nothing
-is shuffled but the words' counts, at any size of the input. Decoding concatenates the ids' pieces.
+A text is split by the pattern into words; a word's bytes are merged pair by pair, lowest rank first. Two facts
+make that a fold over whole numbers: an id is its rank, and which two ids merge into which id follows from the
+rank file alone, so the rank map is a literal table from pairs to ids. Frequent words are folded once each, and
+their ids, a table of bounded size, are broadcast; a text's other distinct words are folded where they stand (they
+stand in about one text of a task each). So nothing is shuffled but the words' counts, at any size of the input.
+Decoding concatenates the ids' pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialise, pieces, replace_columns, workers_ready
+from .common import drop_path, materialise, replace_columns, workers_ready
 
 #: Bound of the broadcast table of folded words.
 FREQUENT = 400_000
@@ -136,6 +137,10 @@ def _fold(word: Column, table: Column) -> Column:
     return F.transform(folded, lambda x: x.bitwiseAND(NEVER).cast("int"))
 
 
+def _is_long(word: str) -> bool:
+    return len(word) * 4 > LONGEST and len(word.encode()) > LONGEST
+
+
 def _byte_ids(words: list[str], single: np.ndarray) -> pa.ListArray:
     """Each word as the ids of its bytes."""
     raw = [w.encode() for w in words]
@@ -143,43 +148,19 @@ def _byte_ids(words: list[str], single: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(single[np.frombuffer(b"".join(raw), np.uint8)], pa.int64()))
 
 
-def _split(df: DataFrame, pattern: str) -> DataFrame:
-    """A row for a few MB of text (`__text`): docs (their other columns), ends (of each document's words), words (distinct,
-    frequent first), n (how often each stands there), and at (the words' numbers, as four planes of bytes)."""
-    rest = [f for f in df.schema.fields if f.name != "__text"]
+def _word_counts(texts: DataFrame, pattern: str) -> DataFrame:
+    """(word, n) of the words of at most LONGEST bytes over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for batch in batches:
-            col = batch.schema.get_field_index("__text")
-            docs = pa.StructArray.from_arrays([c for i, c in enumerate(batch.columns) if i != col], [f.name for f in rest])
-            texts = batch.column(col)
-            for lo, hi in pieces(texts):
-                number: dict[str, int] = defaultdict(count().__next__)
-                each = []
-                for t in texts[lo:hi].to_pylist():
-                    found = find(t or "")
-                    each.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-                at = np.concatenate(each)
-                times = np.bincount(at, minlength=len(number))
-                order = np.argsort(-times, kind="stable")
-                place = np.empty(len(order), np.int32)
-                place[order] = np.arange(len(order))
-                at = place[at] if len(at) else at
-                words = list(number)
-                planes = b"".join(((at >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
-                part = docs.slice(lo, hi - lo)
-                cols = [
-                    pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part),
-                    pa.array([np.cumsum([len(x) for x in each])], pa.list_(pa.int64())),
-                    pa.array([[words[i] for i in order]], pa.list_(pa.string())),
-                    pa.array([times[order]], pa.list_(pa.int64())),
-                    pa.array([planes], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["docs", "ends", "words", "n", "at"])
-
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rest)
-    return df.mapInArrow(run, f"docs array<struct<{fields}>>, ends array<bigint>, words array<string>, n array<bigint>, at binary")
+            counts: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                counts.update(find(t or ""))
+            kept = {w: n for w, n in counts.items() if not _is_long(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(kept.values(), pa.int64())], ["word", "n"])
+
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -222,106 +203,111 @@ def _index_of(key, names: pa.Array) -> dict[str, int]:
     return _INDEX[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = FREQUENT) -> DataFrame:
-    """df with a column of token ids (array<int>), as an encoder without special tokens gives them.
-
-    Null and empty texts have no ids. A column of df with the new one's name is replaced. Rows are encoded
-    one by one: ties, repeated rows and empty tables need no rule. Words of more than LONGEST bytes, of any
-    length, are merged with a heap; their ids follow the same rule. ranks_path is read on the driver.
-    """
+def _folded(df: DataFrame, ranks: Ranks, pattern: str, text: str, ids: str, frequent: int) -> tuple[DataFrame, list[str]]:
+    """df's other columns with __ids, where -1 - k stands for the k-th rare word of the row, and __more, the ids of those."""
     spark: SparkSession = df.sparkSession
     workers_ready(spark)
-    ranks = Ranks(ranks_path)
     single, table = np.array(ranks.single, np.int64), _table(ranks)
-    rest = [c for c in df.columns if c.lower() != ids.lower()]
-    names = [f"c{i}" for i in range(len(rest))]
-    work = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)], F.lit(0).alias("c"), F.col(f"`{text}`").alias("__text"))
-    split, _ = materialise(_split(work, pattern), "split", {"compression": "zstd"})
-
-    each = split.select(F.explode(F.arrays_zip("words", "n")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    counts, counts_path = materialise(each.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts, counts_path = materialise(_word_counts(df.select(text), pattern), "words")
     known = _as_bytes(_frequent(counts, frequent).select("word"), single).select("word", fold(F.col("b"), table).alias("ids"))
     known, known_path = materialise(known, "word-ids")
     rows = known.toArrow()
     lists = rows.column("ids").combine_chunks()
     ends = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy()[ends[0] :].astype(np.uint16) if len(lists) else np.empty(0, np.uint16)
-    shared = spark.sparkContext.broadcast((rows.column("word").combine_chunks(), ends - ends[0] if len(ends) else np.zeros(1, np.int64), flat, ranks.ids))
+    shared = spark.sparkContext.broadcast((rows.column("word").combine_chunks(), ends - ends[0] if len(ends) else np.zeros(1, np.int64), flat, ranks))
     for path in (counts_path, known_path):
         drop_path(spark, path)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The row's words as ids where they are known (sizes and ids), the others' bytes (rare), sizes 0."""
-        names_, bounds, all_ids, by_piece = shared.value
-        index = _index_of(id(names_), names_)
-        size_of = np.diff(bounds)
-        long_words = Ranks.__new__(Ranks)
-        long_words.ids = by_piece
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        names, bounds, all_ids, heap = shared.value
+        index = _index_of(id(names), names)
+        sizes = np.diff(bounds)
         for batch in batches:
-            sizes, found, rare = [], [], []
-            for words in batch.column(2):
-                words = words.as_py()
-                at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-                n = np.zeros(len(at), np.int64)
-                have = at >= 0
-                n[have] = size_of[at[have]]
-                parts = {}
-                for i in np.flatnonzero(~have).tolist():
-                    if len(words[i]) * 4 > LONGEST and len(b := words[i].encode()) > LONGEST:
-                        parts[i] = long_words.merged(b)
-                        n[i] = len(parts[i])
+            out_ids, ends_, rare, rare_ends = [], [0], [], [0]
+            for t in batch.column(batch.schema.get_field_index("__text")).to_pylist():
+                found = find(t or "")
+                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+                n = sizes[np.maximum(at, 0)] if len(sizes) else np.ones(len(at), np.int64)
+                doc_rare: dict[str, int] = {}
+                holes, places, long_words = [], [], {}
+                for j in np.flatnonzero(at < 0).tolist():
+                    w = found[j]
+                    if _is_long(w):
+                        long_words[j] = heap.merged(w.encode())
+                        n[j] = len(long_words[j])
+                    else:
+                        holes.append(j)
+                        places.append(doc_rare.setdefault(w, len(doc_rare)))
+                        n[j] = 1
                 stops = np.cumsum(n)
                 total = int(stops[-1]) if len(stops) else 0
-                begin = stops - n
-                out = np.zeros(total, np.int32)
-                m, first = n[have], begin[have]
-                if len(m):
-                    shift = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                    out[np.repeat(first, m) + shift] = all_ids[np.repeat(bounds[at[have]], m) + shift]
-                for i, part in parts.items():
-                    out[begin[i] : begin[i] + len(part)] = part
-                sizes.append(n.astype(np.int32))
-                found.append(out)
-                rare.append(_byte_ids([words[i] for i in np.flatnonzero(n == 0).tolist()], single))
-            ints = pa.list_(pa.int32())
-            bytes_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, ints), pa.array(found, ints), bytes_, batch.column(3)], ["docs", "ends", "sizes", "found", "rare", "at"])
-
-    docs_type = split.schema["docs"].dataType.simpleString()
-    looked = split.select("docs", "ends", "words", "at").mapInArrow(look, f"docs {docs_type}, ends array<bigint>, sizes array<int>, found array<int>, rare array<array<bigint>>, at binary")
-    more = F.transform("rare", lambda w: fold(w, table))
-    folded = looked.select("docs", "ends", "sizes", "found", more.alias("more"), "at")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents again, each with the ids of its words."""
+                starts = stops - n
+                src = np.repeat(np.where(at >= 0, bounds[np.maximum(at, 0)], 0) - starts, n) + np.arange(total)
+                row = all_ids[np.minimum(src, max(len(all_ids) - 1, 0))].astype(np.int32) if len(all_ids) else np.zeros(total, np.int32)
+                row[starts[holes]] = -1 - np.array(places, np.int64)
+                for j, part in long_words.items():
+                    row[starts[j] : stops[j]] = part
+                out_ids.append(row)
+                ends_.append(ends_[-1] + total)
+                rare += doc_rare
+                rare_ends.append(rare_ends[-1] + len(doc_rare))
+            values = pa.array(np.concatenate(out_ids) if out_ids else np.empty(0, np.int32), pa.int32())
+            keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "__text"]
+            kept = [x for x in batch.schema.names if x != "__text"]
+            yield pa.RecordBatch.from_arrays(
+                [*keep, pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), values), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), _byte_ids(rare, single))],
+                [*kept, "__ids", "__rare"],
+            )
+
+    rest = [c for c in df.columns if c.lower() != ids.lower()]
+    work = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
+    work = work.mapInArrow(run, f"{schema}{', ' if schema else ''}__ids array<int>, __rare array<array<bigint>>")
+    more = F.transform("__rare", lambda w: fold(w, table))
+    return work.select(*[F.col(f"c{i}") for i in range(len(rest))], "__ids", more.alias("__more")), rest
+
+
+def _assembled(ids: pa.Array, more: pa.Array) -> list[np.ndarray]:
+    """Ids of each row: a negative one, -1 - k, stands for all ids of the row's k-th rare word."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    words_, word_ends = more.values, more.offsets.to_numpy()
+    rare, rare_ends = words_.values.to_numpy(zero_copy_only=False), words_.offsets.to_numpy()
+    starts, lengths = rare_ends[:-1], np.diff(rare_ends)
+    out = []
+    for i in range(len(ids)):
+        row = flat[ends[i] : ends[i + 1]]
+        k = word_ends[i]
+        if word_ends[i + 1] > k:
+            hole = row < 0
+            which = np.where(hole, k - 1 - row, 0)
+            n = np.where(hole, lengths[which], 1)
+            stops = np.cumsum(n)
+            inside = np.arange(int(stops[-1])) - np.repeat(stops - n, n)
+            row = np.where(np.repeat(hole, n), rare[np.minimum(np.repeat(np.where(hole, starts[which], 0), n) + inside, max(len(rare) - 1, 0))], np.repeat(row, n))
+        out.append(row.astype(np.int32, copy=False))
+    return out
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = FREQUENT) -> DataFrame:
+    """df with a column of token ids (array<int>), as an encoder without special tokens gives them.
+
+    Null and empty texts have no ids. A column of df with the new one's name is replaced. Rows are encoded
+    one by one: ties, repeated rows and empty tables need no rule. Words of more than LONGEST bytes, of any
+    length, are merged with a heap; their ids follow the same rule. ranks_path is read on the driver.
+    """
+    work, rest = _folded(df, Ranks(ranks_path), pattern, text, ids, frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                docs, ends, sizes, found, more_, at = (c[i] for c in batch.columns)
-                docs, more_ = docs.values, more_.values
-                ends, n = ends.values.to_numpy(), sizes.values.to_numpy().astype(np.int64)
-                rare = np.flatnonzero(n == 0)
-                begin = np.cumsum(n) - n
-                if len(rare):
-                    where = more_.offsets.to_numpy().astype(np.int64)
-                    begin[rare] = len(found.values) + where[:-1] - where[0]
-                    n[rare] = np.diff(where)
-                    table_ = np.concatenate((found.values.to_numpy(), more_.flatten().to_numpy()))
-                else:
-                    table_ = found.values.to_numpy()
-                planes = np.frombuffer(at.as_buffer(), np.uint8).reshape(4, -1).astype(np.int32)
-                number = planes[0] | (planes[1] << 8) | (planes[2] << 16) | (planes[3] << 24)
-                size = n[number]
-                stops = np.cumsum(size)
-                total = int(stops[-1]) if len(stops) else 0
-                src = np.repeat(begin[number] - (stops - size), size) + np.arange(total)
-                out = table_[src] if total else np.empty(0, np.int32)
-                stops = np.concatenate(([0], stops))
-                doc_ends = np.concatenate(([0], stops[ends]))
-                ids_ = pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.array(out, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*docs.flatten()[:-1], ids_], [*names, "ids"])
+            rows = _assembled(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
+            flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+            ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names[:-2], "ids"])
 
-    schema = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for c, n in zip(rest, names, strict=True)) + "ids array<int>"
-    return folded.mapInArrow(spell, schema).select(*[F.col(n).alias(c) for c, n in zip(rest, names, strict=True)], F.col("ids").alias(ids))
+    schema = "".join(f"c{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest)) + "ids array<int>"
+    return work.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -332,15 +318,28 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded"
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, from its ids and from the bytes they decode to.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, from its ids and from the pieces they decode to.
 
-    No id gives the digests of nothing. Rows are judged one by one, as in encode().
+    No id gives the digests of nothing. Rows are judged one by one, as in encode(). decode() gives the same bytes; here
+    they are joined where the ids are, as they leave only as a digest.
     """
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    coded = decode(encode(named, ranks_path, pattern, "t", "ids", frequent).select("doc_id", "ids"), ranks_path)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    ranks = Ranks(ranks_path)
+    work, _ = _folded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__t")), ranks, pattern, "__t", "ids", frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks.pieces)  # the fixed vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = shared.value.__getitem__
+        name_of = [str(i) for i in range(len(shared.value))].__getitem__
+        for batch in batches:
+            n, ids, decoded = [], [], []
+            for row in _assembled(batch.column(1), batch.column(2)):
+                row = row.tolist()
+                n.append(len(row))
+                ids.append(hashlib.sha256(" ".join(map(name_of, row)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(bytes_of, row))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return work.select("c0", "__ids", "__more").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
