@@ -21,6 +21,9 @@ COVERAGE, AGREEMENT = 0.5, 0.75
 SLACK = 8
 #: Items with fewer template words than a window and fewer other words than this are sought without joining runs.
 LITERALS = 4
+#: Items with fewer words besides the placeholders, and fewer than LITERALS words in all, are not sought: a value alone
+#: would be found in every text with one.
+LEAST_LITERALS = 2
 #: Largest number of item windows that may be broadcast (about 24 bytes each in a hashed table of 64 bytes).
 BROADCAST_WINDOWS = 1_000_000
 
@@ -126,7 +129,9 @@ def find_leaks(
     agreement: the fewer of the item's and the document's distinct slot values over their distinct pairs (1: one
     value for one value; 1 too without slots). Every alignment with enough windows is checked.
     Items of fewer than eight template words are sought by one window of their own length; where joining runs
-    leaves fewer than LITERALS words besides the placeholders of such an item, its runs aren't joined.
+    leaves fewer than LITERALS words besides the placeholders of such an item, its runs aren't joined and its values
+    must be the same. Items with fewer than LEAST_LITERALS words besides the placeholders and fewer than LITERALS in
+    all are in no text.
     Null and empty texts and items hold and are nothing. Rows are told apart by (doc_id, hash of the text); equal
     rows count once; a null doc_id is an id. Repeated item rows count once. Other columns aren't read. Empty tables
     give an empty table. Items are bounded by a count before they are broadcast; beyond it windows meet by shuffle.
@@ -135,8 +140,10 @@ def find_leaks(
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).distinct()
     it = _hashed(it.where("t is not null"), ["item_id", "t"], "t", True)
     marks = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT, "")]
-    joined = (F.size("h") >= WINDOW) | (F.size(F.filter("h", lambda x: ~x.isin(*marks))) >= LITERALS)
-    it = it.select("item_id", "t", joined.alias("joined"), F.when(joined, F.size("h")).otherwise(F.size(words(F.col("t")))).alias("n"))
+    literals = F.size(F.filter("h", lambda x: ~x.isin(*marks)))
+    joined = (F.size("h") >= WINDOW) | (literals >= LITERALS)
+    enough = (literals >= LEAST_LITERALS) | (F.size(words(F.col("t"))) >= LITERALS)
+    it = it.where(enough).select("item_id", "t", joined.alias("joined"), F.when(joined, F.size("h")).otherwise(F.size(words(F.col("t")))).alias("n"))
     it, _ = materialise(it.where("n > 0"), "sought")
     modes = sorted(r["joined"] for r in it.select("joined").distinct().collect()) or [True]
     out = None
@@ -209,7 +216,7 @@ def _find(d: DataFrame, it: DataFrame, joined: bool, coverage: float, agreement:
         *keys, "item_id", F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.size("s").cast("long").alias("n_slots"),
         F.size(F.filter("s", lambda x: x["a"] != x["b"])).cast("long").alias("n_changed"),
         F.when(n_pairs > 0, F.least(n_a, n_b) / n_pairs).otherwise(F.lit(1.0)).alias("agreement"), (-F.col("shift")).alias("back"),
-    ).where(F.col("agreement") >= agreement)
+    ).where((F.col("agreement") >= agreement) if joined else (F.col("n_changed") == 0))
     best = F.max(F.struct("n_matched", "agreement", "back", "n_windows", "n_slots", "n_changed")).alias("b")
     return out.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", *[f"b.{c}" for c in ("n_windows", "n_matched", "n_slots", "n_changed", "agreement")])
 

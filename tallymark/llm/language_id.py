@@ -19,6 +19,8 @@ from .common import in_share, pieces, workers_ready
 
 #: Bound of the training sample: documents of each language (twice as many at most).
 TRAIN_DOCS = 1500
+#: Bytes of text whose words are scored at a time (a longer text stands alone): about 60 times that in arrays.
+PIECE = 1 << 20
 #: Cells of the trigram table of a language (fixed size), and the count that each starts with.
 CELL_BITS, PRIOR = 16, 0.5
 #: Cost of a change of language, and of a word in a script that the language isn't written in.
@@ -151,7 +153,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for lo, hi in pieces(batch.column(1)):
+            for lo, hi in pieces(batch.column(1), PIECE):
                 w = Words(batch.column(1)[lo:hi])
                 for i in range(hi - lo):
                     a, b = w.bounds[i], w.bounds[i + 1]
@@ -195,13 +197,16 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
     shared = spark.sparkContext.broadcast(model)  # a fixed table a language
     new = ["lang_pred", "score", *(["spans"] if spans else [])]
     rest = [c for c in df.columns if c.lower() not in new]
-    work = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("__text"))
+    carried = [f"c{i}" for i in range(len(rest))]
+    extra = [] if text in rest else [F.col(f"`{text}`").alias("__text")]  # a text that stays is sent once
+    at = rest.index(text) if text in rest else len(rest)
+    work = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, carried, strict=True)], *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table, masks = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo, hi in pieces(texts):
+            texts = batch.column(at)
+            for lo, hi in pieces(texts, PIECE):
                 part = batch.slice(lo, hi - lo)
                 w = Words(texts[lo:hi])
                 langs, shares, found = ["und"] * (hi - lo), [0.0] * (hi - lo), [[] for _ in range(hi - lo)]
@@ -219,10 +224,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
                             cut = np.flatnonzero(np.diff(labels[a:b])) + 1
                             edges = [0, *cut.tolist(), int(b - a)]
                             found[i] = [{"lang": names[labels[a + p]], "first": p, "last": q} for p, q in zip(edges, edges[1:], strict=False)]
-                cols = [*part.columns[:-1], pa.array(langs), pa.array(shares, pa.float64())]
+                cols = [*part.columns[: len(rest)], pa.array(langs), pa.array(shares, pa.float64())]
                 if spans:
                     cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[:-1], *new])
+                yield pa.RecordBatch.from_arrays(cols, [*carried, *new])
 
     schema = "".join(f"c{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest)) + "lang_pred string, score double"
     out = work.mapInArrow(run, schema + (", spans array<struct<lang: string, first: int, last: int>>" if spans else ""))

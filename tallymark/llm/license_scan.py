@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, workers_ready
 
-#: Least share of a template's words that must be aligned.
-COVERAGE = 0.75
+#: Least share of a notice's words that must be aligned; of a line, a template of up to so many words, all must be, as
+#: the word that names the license is one of few there.
+COVERAGE, LINE = 0.75, 16
+#: Least share of aligned words from the first to the last of them.
+DENSITY = 0.5
 
 #: License notices by name.
 TEMPLATES = {
@@ -131,7 +134,7 @@ class Scanner:
             for pair in set(zip(ws, ws[1:], strict=False)) or {(ws[0], "")}:
                 self.pairs.setdefault(pair, []).append(name)
             # Of words that make up more than 1 - coverage of the template, at least one is in any text that holds it.
-            left = (1 - coverage) * len(ws)
+            left = len(ws) - self._need(ws)
             for w in sorted(set(ws), key=lambda w: (-len(w), w)):
                 marks.add(w)
                 left -= ws.count(w)
@@ -139,9 +142,19 @@ class Scanner:
                     break
         # A mark that holds another mark is found wherever that one is.
         self.marks = sorted(m for m in marks if not any(o != m and o in m for o in marks))
+        # Words that no other template has: a find must hold one of its template's, if there are any.
+        owners = Counter(w for ws in self.words.values() for w in set(ws))
+        self.telling = {name: {w for w in ws if owners[w] == 1} for name, ws in self.words.items()}
+
+    def _need(self, template: list[str]) -> float:
+        """Words of a template that must be aligned."""
+        return len(template) if len(template) <= LINE else self.coverage * len(template)
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
-        """(name, first word, word after the last, words aligned, words of the template) of each region, by place."""
+        """(name, first word, word after the last, words aligned, words of the template) of each region, by place.
+
+        Of finds that overlap the one with most aligned words stays, then the shortest.
+        """
         low = text.lower()
         if not any(m in low for m in self.marks):
             return []
@@ -164,13 +177,21 @@ class Scanner:
                 stop = runs[r + 1][0] if r + 1 < len(runs) else len(words)
                 lo, hi = max(floor, first - n), min(stop, last + n + 1)
                 for found in self._within(words, lo, hi, template):
-                    out.append((name, *found, n))
                     floor = max(floor, found[1])
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+                    first_word, end, aligned = found
+                    told = not self.telling[name] or not self.telling[name].isdisjoint(words[first_word:end])
+                    if told and aligned >= DENSITY * (end - first_word):
+                        out.append((name, *found, n))
+        kept: list[tuple[str, int, int, int, int]] = []
+        for x in sorted(out, key=lambda x: (-x[3], x[2] - x[1], x[1], x[0])):
+            place = bisect_left(kept, x[1], key=lambda k: k[1])
+            if (place == 0 or kept[place - 1][2] <= x[1]) and (place == len(kept) or kept[place][1] >= x[2]):
+                kept.insert(place, x)
+        return kept
 
     def _within(self, words: list[str], lo: int, hi: int, template: list[str]) -> Iterator[tuple[int, int, int]]:
         """Aligned stretches of words[lo:hi]; what lies before and after one may hold further copies."""
-        n, need = len(template), self.coverage * len(template)
+        n, need = len(template), self._need(template)
         todo = [(lo, hi)]
         while todo:
             lo, hi = todo.pop()
@@ -196,7 +217,7 @@ class Scanner:
         A part longer than the template by a half holds a copy whose middle stands in it once, so each width
         takes steps by which a copy that fits with a step to spare lies whole in one part.
         """
-        n, need, times = len(template), self.coverage * len(template), Counter(template)
+        n, need, times = len(template), self._need(template), Counter(template)
         found = set()
         for width, step in ((n + n // 4, n // 8), (n + n // 2, n // 4), (2 * n, n // 2), (3 * n, n)):
             for k in range(lo, max(lo, hi - width) + max(step, 1), max(step, 1)):
@@ -218,9 +239,11 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str
     """A row of df's other columns for each license found, with license, first_word, n_words, n_aligned and coverage.
 
     first_word counts from 0 over words `[^\\x20\\x09-\\x0D]+`; n_words: from the first to the last aligned word;
-    coverage: n_aligned over the template's words, at least `coverage`. Words are compared in lower case without
+    coverage: n_aligned over the template's words, at least `coverage`, and 1 of a line of up to LINE words. At least
+    DENSITY of the words from first to last are aligned, and one of them is a word that no other template has. Words are compared in lower case without
     the marks around them. A template of two or more words is sought where two of its neighbouring words stand
-    together. Two templates may cover one place: both are told. Null and empty texts hold none. Columns of df
+    together. Of finds that overlap only
+    that with most aligned words is told. Null and empty texts hold none. Columns of df
     with the new names are replaced; repeated rows are scanned each; an empty table gives an empty table.
     Templates are a short list of parameters. Whole texts are scanned, and no row is moved.
     """

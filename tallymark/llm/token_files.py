@@ -59,7 +59,8 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
-        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Q") == "q"
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer is not None else str
+        self.lower = self.normal("Q") == "q"
         self.width = 2 if len(self.ends) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {"": b""}
@@ -87,7 +88,7 @@ class ChunkEncoder:
         plain: dict[str, str] = {}
         for c in chunks:
             core = c[:-1] if c[-1] in ".," else c
-            if core.isalpha():
+            if core.isalpha() and (core.isascii() or self.normal(core).isalpha()):  # a capital may become a letter and a mark
                 plain[c] = core.lower() if self.lower and core.isascii() else core
         ids = {w: b for w in plain.values() if (b := self.known.get(w)) is not None}
         ids.update(self._joined([w for w in dict.fromkeys(plain.values()) if w not in ids], self._by_marks))

@@ -79,6 +79,19 @@ def test_token_files_odd(spark, odd, empty):
     assert written(spark, empty)[1].count() == 0
 
 
+def test_token_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json")) as f:
+        encoder = token_files.ChunkEncoder(f.read())
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(11)
+    alphabet = [*"abcXYZ.,.,;'!- \n\t09", "İ", "é", "e\u0301", "ß", "Ω", "ﬁ", "中", "ا", "ि", "\u00a0", "\u0307", "ǅ", "'s", "İ,", "İ."]
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(30_000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == want
+
+
 # Operator 2
 
 
@@ -387,3 +400,34 @@ def test_jaccard_join_null_id_before_copies(spark):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(rows).collect()}
     want = {i: c for i, (_, c) in brute_components({i: t for i, t in texts if i is not None}).items()}
     assert got == {**want, None: None} and set(want.values()) == {1}
+
+
+def test_license_needs_its_telling_words():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    names = lambda text: [f[0] for f in scanner.scan(text)]
+    assert names("The film was released under the license of its studio.") == []
+    assert names("Released under the Apache License.") == names("Licensed under the MIT License, Version 2.0.") == []
+    assert names("Licensed under CC BY-NC 4.0.") == ["cc-by-nc-4.0-line"] and names("Licensed under CC BY 4.0.") == ["cc-by-4.0-line"]
+    assert names(f"a {license_scan.TEMPLATES['apache-2.0-notice']} b") == ["apache-2.0-notice"]
+
+
+def brute_licenses(text):
+    """Every window of a line's length that is the line, but those inside a longer line; by plain comparison."""
+    words = license_scan.normal_words(text)
+    lines = {n: license_scan.normal_words(t) for n, t in license_scan.TEMPLATES.items() if len(license_scan.normal_words(t)) <= license_scan.LINE}
+    return sorted((k, n) for n, ws in lines.items() for k in range(len(words)) if words[k : k + len(ws)] == ws)
+
+
+def test_license_scan_against_brute_force(docs):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    texts = [r["text"] or "" for r in docs.collect()]
+    lines = [t for n, t in license_scan.TEMPLATES.items() if n.endswith("line")]
+    texts += [f"x {a} y z {b} {a}" for a in lines for b in lines]
+    for text in texts:
+        assert sorted((f[1], f[0]) for f in scanner.scan(text) if f[0].endswith("line")) == brute_licenses(text)
+
+
+def test_decontaminate_short_items(spark):
+    items = spark.createDataFrame([(1, "42"), (2, "Paris 12"), (3, "what is 12 times 7?")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "In 1999 there were 42 trees."), (2, "So what is 12 times 7? Say it."), (3, "So what is 13 times 8? Say it."), (4, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows, items).collect()] == [(2, 3)]
