@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialise, replace_columns, workers_ready
 
 #: Bound of the broadcast table of folded words.
-FREQUENT = 400_000
+FREQUENT = 800_000
 #: Bytes of a word that is folded as an array; a longer one is merged with a heap, as a fold's work grows with the square.
 LONGEST = 64
+#: Characters of a plan's text that the driver keeps for each query it ran: the literal table alone has millions.
+PLAN_TEXT = 100_000
 #: Buckets of the literal pair table; one or two pairs each.
 BUCKETS = 1 << 17
 #: In a fold's state: no merge.
@@ -207,6 +209,9 @@ def _folded(df: DataFrame, ranks: Ranks, pattern: str, text: str, ids: str, freq
     """df's other columns with __ids, where -1 - k stands for the k-th rare word of the row, and __more, the ids of those."""
     spark: SparkSession = df.sparkSession
     workers_ready(spark)
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key)) > PLAN_TEXT:
+        spark.conf.set(key, str(PLAN_TEXT))
     single, table = np.array(ranks.single, np.int64), _table(ranks)
     counts, counts_path = materialise(_word_counts(df.select(text), pattern), "words")
     known = _as_bytes(_frequent(counts, frequent).select("word"), single).select("word", fold(F.col("b"), table).alias("ids"))

@@ -20,7 +20,7 @@ from .common import in_share, pieces, workers_ready
 #: Bound of the training sample: documents of each language (twice as many at most).
 TRAIN_DOCS = 1500
 #: Bytes of text whose words are scored at a time (a longer text stands alone): about 60 times that in arrays.
-PIECE = 1 << 20
+PIECE = 2 << 20
 #: Cells of the trigram table of a language (fixed size), and the count that each starts with.
 CELL_BITS, PRIOR = 16, 0.5
 #: Cost of a change of language, and of a word in a script that the language isn't written in.
