@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialise, replace_columns, workers_ready
+from .common import at_most, drop_path, materialise, replace_columns, workers_ready
 
 #: Bound of the broadcast table of folded words.
 FREQUENT = 800_000
@@ -209,9 +209,7 @@ def _folded(df: DataFrame, ranks: Ranks, pattern: str, text: str, ids: str, freq
     """df's other columns with __ids, where -1 - k stands for the k-th rare word of the row, and __more, the ids of those."""
     spark: SparkSession = df.sparkSession
     workers_ready(spark)
-    key = "spark.sql.maxPlanStringLength"
-    if int(spark.conf.get(key)) > PLAN_TEXT:
-        spark.conf.set(key, str(PLAN_TEXT))
+    at_most(spark, "spark.sql.maxPlanStringLength", PLAN_TEXT)
     single, table = np.array(ranks.single, np.int64), _table(ranks)
     counts, counts_path = materialise(_word_counts(df.select(text), pattern), "words")
     known = _as_bytes(_frequent(counts, frequent).select("word"), single).select("word", fold(F.col("b"), table).alias("ids"))

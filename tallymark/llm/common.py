@@ -23,13 +23,17 @@ _FALLBACK: dict[str, str] = {}
 BATCH_BYTES = 8 << 20
 
 
+def at_most(spark: SparkSession, key: str, limit: int) -> None:
+    """Lower a size among the session's settings to `limit`, if it is larger."""
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def workers_ready(spark: SparkSession) -> None:
     """The package on the executors, and the session's Arrow batches bounded in bytes on every path, also of returned plans."""
     python_ready(spark)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch_root(spark: SparkSession) -> str:
