@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import at_most, drop_path, materialise, replace_columns, workers_ready
 
 #: Bound of the broadcast table of folded words.
-FREQUENT = 800_000
+FREQUENT = 400_000
 #: Bytes of a word that is folded as an array; a longer one is merged with a heap, as a fold's work grows with the square.
 LONGEST = 64
 #: Characters of a plan's text that the driver keeps for each query it ran: the literal table alone has millions.
