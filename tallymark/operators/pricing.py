@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names that stand for others.
+ALIASES = {"gpt-reserve": "gpt-5.6-luna", "gpt-5.6": "gpt-5.6-sol", "gpt-5.3-spark": "gpt-5.3-codex-spark"}
 #: Dollars per million tokens (input, output, cache write, cache read), as published by the vendors.
 RATES = {
     "claude-opus-4-5": (5, 25, 6.25, 0.5), "claude-opus-4-6": (5, 25, 6.25, 0.5), "claude-opus-4-7": (5, 25, 6.25, 0.5), "claude-opus-4-8": (5, 25, 6.25, 0.5),
@@ -49,13 +53,15 @@ def pico(per_million: float | None) -> int | None:
 
 
 def fast_multiplier(model: str) -> float:
-    """By exact name, by a part of its path, else by the start of the name with `.` as `-`."""
-    for name in [model, *model.split("/")]:
-        if name in FAST_EXACT:
-            return FAST_EXACT[name]
+    """By the name or its alias, else by a part of its path (cut at `/` and `:`): so, or by a base name that ends it or stands before a dash."""
+    for name in dict.fromkeys([model, *re.split("[/:]", model)]):
+        for known in (name, ALIASES.get(name)):
+            if known in FAST_EXACT:
+                return FAST_EXACT[known]
         plain = name.replace(".", "-").replace("@", "-")
-        for prefix, m in FAST_PREFIX.items():
-            if plain.startswith(prefix):
+        for base, m in FAST_PREFIX.items():
+            _, found, after = plain.rpartition(base)
+            if found and after[:1] in ("", "-"):
                 return m
     return 1.0
 

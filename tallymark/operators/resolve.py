@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_free, model_identity, pricing_key
-from .pricing import consensus
+from .pricing import ALIASES, consensus
 
-#: Names that stand for others.
-ALIASES = {"gpt-reserve": "gpt-5.6-luna", "gpt-5.6": "gpt-5.6-sol", "gpt-5.3-spark": "gpt-5.3-codex-spark"}
 _QUOTE = r"([\\.\[\]{}()*+?^$|])"
-#: What may follow a name and still name the same model: a date and a version.
+#: Fixed value: what may follow a name and still name the same model: a date and a version.
 _TRAILER = r"(-\d{8}|-\d{4}-\d{2}-\d{2})?(-v\d+(:\d+)?)?$"
 
 

@@ -120,3 +120,13 @@ def test_components_raise_when_unsettled(spark):
     assert {r["root"] for r in dedup.components(path, "a", "b").collect()} == {0}
     with pytest.raises(RuntimeError):
         dedup.components(path, "a", "b", rounds=1)
+
+
+def test_fast_multiplier():
+    from tallymark.operators.pricing import fast_multiplier
+
+    want = {
+        "anthropic.claude-opus-4-6-v1": 6.0, "us.anthropic.claude-opus-4-8": 2.0, "gpt-5.6": 2.0, "openrouter:gpt-5.5": 2.5, "claude-opus-4-60": 1.0,
+        "vendor/claude-opus-4.7": 6.0, "gpt-5.5-mini": 1.0,
+    }
+    assert {name: fast_multiplier(name) for name in want} == want
