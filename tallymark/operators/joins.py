@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,28 +48,37 @@ def without_fork_prefix(child: DataFrame, parent: DataFrame, fork: str, order: s
     return joined.withColumn("__first", first).where(F.col("__n") >= F.col("__first")).select(*child.columns)
 
 
-def active_path(nodes: DataFrame, tree: str = "source_file", node: str = "id", parent: str = "parent_id", order: str = "seq", rounds: int = 40) -> DataFrame:
-    """Rows on the way from each tree's last row to its root, found by doubling the reach of parent links.
+def active_path(nodes: DataFrame, tree: str = "source_file", node: str = "id", parent: str = "parent_id", order: str = "seq") -> DataFrame:
+    """Rows on the way from each tree's last row to its root.
 
-    A tree with repeated ids, missing parents or a cycle is kept whole, as its active branch can't be told.
+    A tree with repeated or missing ids, missing parents or a cycle is kept whole, as its active branch can't be told.
+    A task walks the links of one tree (a log file) at a time; only links are gathered, no other columns. Ties in
+    `order` go by id; an empty table gives an empty one.
     """
-    ids = nodes.select(tree, F.col(node).alias("n"), F.col(parent).alias("p"), F.col(order).alias("o"))
-    w = Window.partitionBy(tree)
-    there = ids.alias("a").join(ids.alias("b"), (F.col(f"a.{tree}") == F.col(f"b.{tree}")) & (F.col("a.p") == F.col("b.n")), "left_anti").where("p is not null")
-    bad = ids.groupBy(tree, "n").count().where("count > 1").select(tree).union(there.select(tree)).distinct()
-    good = ids.join(bad, tree, "left_anti")
-    reach = good.select(tree, "n", F.col("p").alias("up"))
-    on = good.withColumn("__last", F.max("o").over(w)).where("o = __last").select(tree, "n")
-    for _ in range(rounds):
-        nxt = on.join(reach.where("up is not null"), [tree, "n"]).select(tree, F.col("up").alias("n"))
-        more = on.union(nxt).distinct()
-        hop = reach.alias("r").join(reach.alias("s"), (F.col(f"r.{tree}") == F.col(f"s.{tree}")) & (F.col("r.up") == F.col("s.n")), "left")
-        reach = hop.select(F.col(f"r.{tree}").alias(tree), F.col("r.n").alias("n"), F.col("s.up").alias("up"))
-        grew = more.count() != on.count()
-        on = more
-        if not grew:
-            break
-    cyclic = on.groupBy(tree).agg(F.count("*").alias("c")).join(good.where("p is null").select(tree).distinct(), tree, "left_anti").select(tree)
-    whole = nodes.join(bad.union(cyclic).distinct(), tree, "left_semi")
-    kept = nodes.join(on.join(cyclic, tree, "left_anti").withColumnRenamed("n", node), [tree, node], "left_semi")
-    return kept.unionByName(whole).select(*nodes.columns)
+
+    def walk(links: pd.DataFrame) -> pd.DataFrame:
+        links = links.sort_values(["o", "n"], kind="stable", na_position="first")
+        up = {n: (None if pd.isna(p) else p) for n, p in zip(links["n"], links["p"], strict=True)}
+        sound = len(up) == len(links) and not links["n"].isna().any() and all(p is None or p in up for p in up.values())
+        done: set = set()  # nodes known to lead to a root
+        for start in up if sound else ():
+            path, at = {}, start
+            while at is not None and at not in done and at not in path:
+                path[at] = True
+                at = up[at]
+            if at is not None and at not in done:
+                sound = False
+                break
+            done.update(path)
+        if not sound:
+            return links[["t", "n", "o"]]
+        on, at = set(), links["n"].iloc[-1]
+        while at is not None:
+            on.add(at)
+            at = up[at]
+        return links.loc[links["n"].isin(on), ["t", "n", "o"]]
+
+    links = nodes.select(F.col(tree).cast("string").alias("t"), F.col(node).cast("string").alias("n"), F.col(parent).cast("string").alias("p"), F.col(order).cast("long").alias("o"))
+    on = links.groupBy("t").applyInPandas(walk, "t string, n string, o long").distinct()
+    same = F.col(tree).cast("string").eqNullSafe(F.col("t")) & F.col(node).cast("string").eqNullSafe(F.col("n")) & F.col(order).cast("long").eqNullSafe(F.col("o"))
+    return nodes.join(on, same, "left_semi")

@@ -91,6 +91,15 @@ def test_active_path(spark):
     assert sorted((r["source_file"], r["id"]) for r in got) == [("f", "a"), ("f", "c"), ("f", "d"), ("g", "x"), ("g", "y")]
 
 
+def test_active_path_long_and_broken_trees(spark):
+    chain = [("long", f"n{i}", f"n{i - 1}" if i else None, i) for i in range(5000)] + [("long", "side", "n7", -1)]
+    broken = [("cycle", "a", "b", 1), ("cycle", "b", "a", 2), ("cycle", "c", None, 3), ("twice", "a", None, 1), ("twice", "a", None, 2), ("blank", None, None, 1), ("blank", "z", None, 2)]
+    rows = spark.createDataFrame(chain + broken + [("two", "a", None, 1), ("two", "b", None, 2)], "source_file string, id string, parent_id string, seq long")
+    got = joins.active_path(rows).groupBy("source_file").count().collect()
+    assert {r["source_file"]: r["count"] for r in got} == {"long": 5000, "cycle": 3, "twice": 2, "blank": 2, "two": 1}
+    assert joins.active_path(rows.where("false")).count() == 0
+
+
 def test_dedup_keeps_rows_without_key(spark):
     rows = spark.createDataFrame([(1, "k"), (2, "k"), (3, None), (4, None)], "seq long, k string")
     assert sorted(r["seq"] for r in dedup.keep_best(rows, ["k"], [F.col("seq")], F.col("k").isNotNull()).collect()) == [2, 3, 4]
