@@ -182,9 +182,11 @@ def scheduled(priced: DataFrame, schedule: DataFrame, on: str = "model") -> Data
     return out.select(*priced.columns)
 
 
-def with_cost(usage: DataFrame, rates: DataFrame, schedule: DataFrame | None = None, mode: str = "auto", on: str = "model", one_hour: Column | None = None) -> DataFrame:
+def with_cost(usage: DataFrame, rates: DataFrame, schedule: DataFrame | None = None, mode: str = "auto", on: str = "model", one_hour: Column | None = None, codex: Column | None = None) -> DataFrame:
     """usage with cost_pico and missing_pricing.
 
+    Rows where `codex` holds are priced by cost_codex(), on the whole input of the request.
+
     mode: `display` takes the recorded cost_usd or 0, `auto` the recorded one if there is one, `calculate` always
     computes. No model: cost 0, nothing missing. A model without a price: cost 0, and missing if it has tokens.
     Fast requests cost the model's multiple.
@@ -194,6 +196,9 @@ def with_cost(usage: DataFrame, rates: DataFrame, schedule: DataFrame | None = N
         rows = scheduled(rows, schedule, on)
     plain = F.when(F.col("threshold").isNotNull(), cost_by_request(F.col("threshold"), one_hour)).otherwise(cost_by_bucket(one_hour))
     plain = F.when(F.col("fast"), F.floor(plain * F.col("fast_multiplier") + 0.5).cast("long")).otherwise(plain)
+    if codex is not None:
+        asked = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
+        plain = F.when(codex, cost_codex(asked, F.coalesce("fast", F.lit(False)), F.col("threshold"))).otherwise(plain)
     recorded = F.floor(F.col("cost_usd") * F.lit(1e12) + 0.5).cast("long")
     computed = F.coalesce(plain, F.lit(0).cast("long"))
     cost = {"display": F.coalesce(recorded, F.lit(0).cast("long")), "auto": F.coalesce(recorded, computed), "calculate": computed}[mode]

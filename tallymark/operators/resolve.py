@@ -7,11 +7,13 @@ never meet the list more than once, and the list is a short dimension.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_free, model_identity, pricing_key
-from .pricing import ALIASES, consensus
+from .pricing import ALIASES, KINDS, consensus
 
 _QUOTE = r"([\\.\[\]{}()*+?^$|])"
 #: Fixed value: what may follow a name and still name the same model: a date and a version.
@@ -76,7 +78,28 @@ def resolve(models: DataFrame, rates: DataFrame, aliases: dict[str, str] | None
     return out.select("model", F.coalesce("price_model", "by_fuzzy").alias("price_model"), F.when(F.col("by_fuzzy").isNotNull() & F.col("how").isNull(), "fuzzy").otherwise(F.col("how")).alias("how"))
 
 
-def price_usage(usage: DataFrame, rates: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """usage with `priced_as`, the listed name its model resolves to: one broadcast join on the distinct names."""
-    names = resolve(usage.select("model"), rates, aliases).select(F.col("model").alias("__m"), F.col("price_model").alias("priced_as"))
-    return usage.join(names, F.col("model") == F.col("__m"), "left").drop("__m")
+def price_usage(usage: DataFrame, rates: DataFrame, aliases: dict[str, str] | None = None, overrides: list[str] | None = None) -> DataFrame:
+    """usage with `priced_as`, the listed name that prices a row, and `price_found`, whether any of its names has a price.
+
+    A row's names are its `candidates`, or its model where it has none. Names that are found without a fuzzy match go
+    first: overridden ones, then those with a provider, then bare ones, each in their order. Only if there are none, fuzzy
+    matches count, in their order. Of these names the first that costs something for the row's tokens prices it, else the
+    first. Each distinct list of names is resolved once; usage rows meet the result in one join on that list.
+    """
+    have = F.array_compact("candidates") if "candidates" in usage.columns else F.array().cast("array<string>")
+    names = F.when(F.size(have) > 0, have).when(F.col("model").isNotNull(), F.array("model"))
+    work = usage.withColumn("__names", names)
+    lists = work.select("__names").where("__names is not null").distinct()
+    each = lists.select("__names", F.posexplode("__names").alias("pos", "model"))
+    rank = F.when(F.col("model").isin(overrides or []), 0).when(F.contains("model", F.lit("/")), 1).otherwise(2)
+    found = each.join(resolve(each, rates, aliases), "model").where("how is not null")
+    found = found.join(rates.select("price_model", *[f"{k}_rate" for k in KINDS]), "price_model", "left")
+    near = (F.col("how") == "fuzzy").alias("near")
+    entry = F.struct(near, F.when(F.col("how") == "fuzzy", 0).otherwise(rank).alias("rank"), "pos", "price_model", *[f"{k}_rate" for k in KINDS])
+    ordered = found.groupBy("__names").agg(F.array_sort(F.collect_list(entry)).alias("prices"))  # a few names a list
+    ordered = ordered.select(F.col("__names").alias("__list"), F.filter("prices", lambda p: p["near"] == F.get("prices", 0)["near"]).alias("prices"))
+    tokens = dict(zip(KINDS, ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"], strict=True))
+    costs = lambda p: reduce(lambda a, b: a | b, [(F.col(t) > 0) & F.coalesce(p[f"{k}_rate"] > 0, F.lit(False)) for k, t in tokens.items()])
+    best = F.coalesce(F.get(F.filter("prices", costs), 0), F.get("prices", 0))
+    out = work.join(ordered, F.col("__names") == F.col("__list"), "left")
+    return out.select(*usage.columns, best["price_model"].alias("priced_as"), F.col("prices").isNotNull().alias("price_found"))

@@ -59,16 +59,20 @@ def in_range(usage: DataFrame, o: Options) -> DataFrame:
     return usage
 
 
-def price(usage: DataFrame, rates: DataFrame | None = None, mode: str = "auto", aliases: dict[str, str] | None = None) -> DataFrame:
-    """usage with cost_pico and missing_pricing: models resolved by name, then priced by rate, era and time of day."""
+def price(usage: DataFrame, rates: DataFrame | None = None, mode: str = "auto", aliases: dict[str, str] | None = None, overrides: list[str] | None = None) -> DataFrame:
+    """usage with cost_pico and missing_pricing: priced by a row's candidates or model, by rate, era and time of day.
+
+    Cache writes for an hour (`one_hour`, if there is such a column) cost their own rate, and rows of the agent codex follow its
+    rule for long requests. `overrides` are the names in `rates` that the user set: they go before other candidates.
+    """
     spark = usage.sparkSession
     table = pricing.rate_table(spark) if rates is None else rates
-    named = resolve.price_usage(usage, table, aliases)
-    free = F.lower(F.element_at(F.split("model", "/"), -1)).rlike("[-:]free$") & F.col("priced_as").isNull()
-    out = pricing.with_cost(named, table, pricing.schedule_table(spark), mode, on="priced_as")
-    tokens = total_tokens()
-    missing = F.col("model").isNotNull() & F.col("priced_as").isNull() & ~F.coalesce(free, F.lit(False)) & (tokens > 0) & (F.lit(mode == "calculate") | F.col("cost_usd").isNull()) & F.lit(mode != "display")
-    return out.withColumn("missing_pricing", missing).drop("priced_as")
+    named = resolve.price_usage(usage, table, aliases, overrides)
+    hour = F.col("one_hour") if "one_hour" in usage.columns else None
+    codex = F.col("agent") == "codex" if "agent" in usage.columns else None
+    out = pricing.with_cost(named, table, pricing.schedule_table(spark), mode, "priced_as", hour, codex)
+    missing = F.col("model").isNotNull() & ~F.col("price_found") & (total_tokens() > 0) & (F.lit(mode == "calculate") | F.col("cost_usd").isNull()) & F.lit(mode != "display")
+    return out.withColumn("missing_pricing", missing).drop("priced_as", "price_found")
 
 
 def periods(priced: DataFrame, period: str = "daily", o: Options = Options()) -> DataFrame:  # noqa: B008

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns of the usage table, in order, with their types. Counters are non-negative but for extra_tokens.
+#: Columns of the usage table, in order, with their types. Counters are non-negative but for extra_tokens;
+#: one_hour is the part of cache_creation_tokens that was written for an hour (null: none).
 USAGE = T.StructType([
     T.StructField("agent", T.StringType(), False), T.StructField("source_file", T.StringType()), T.StructField("seq", T.LongType()),
     T.StructField("ts_ms", T.LongType()), T.StructField("session_id", T.StringType()), T.StructField("project", T.StringType()),
@@ -16,6 +17,7 @@ USAGE = T.StructType([
     T.StructField("message_id", T.StringType()), T.StructField("request_id", T.StringType()), T.StructField("is_sidechain", T.BooleanType()),
     T.StructField("fast", T.BooleanType()), T.StructField("cost_usd", T.DoubleType()), T.StructField("credits", T.DoubleType()),
     T.StructField("message_count", T.LongType()), T.StructField("version", T.StringType()), T.StructField("reset_ms", T.LongType()),
+    T.StructField("one_hour", T.LongType()),
 ])
 COUNTERS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens"]
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallymark import reports
+from tallymark.operators import pricing
 from tallymark.plans.bench_view import usage_view
 from tallymark.schema import conform
 from tallymark.streaming import usage as streaming
@@ -35,6 +36,32 @@ def test_reports(spark, sf):
     assert len(live) == 1 and live[0]["projected_tokens"] >= live[0]["input_tokens"]
 
 
+def test_price_by_candidates_hours_and_codex_rule(spark):
+    rates = pricing.rate_table(spark, pricing.rate_rows({"acme/alpha": (2, 10, 4, 1), "beta": (3, 12, 6, 1), "nil": (0, 0, 0, 0)}, {"beta": (6, 24, 12, 2)}))
+    rows = [
+        (1, "x", "who-knows", ["nowhere", "beta", "acme/alpha"], 10, 0, 0, 0, False, None),  # a provider's name goes first
+        (2, "x", "free-of-it", ["acme/alpha", "nil"], 0, 0, 0, 0, False, None),
+        (3, "x", "some", ["nil", "beta"], 10, 0, 0, 0, False, None),  # what costs nothing gives way
+        (4, "x", "beta", None, 0, 0, 100, 0, False, 40),  # 60 writes at 6, 40 at twice the input rate
+        (5, "codex", "beta", None, 150_000, 10, 0, 60_000, False, None),  # a long request is long as a whole
+        (6, "x", "beta", None, 150_000, 10, 0, 60_000, False, None),
+        (7, "x", "unlisted", ["unlisted"], 5, 0, 0, 0, False, None),
+        (8, "x", None, None, 5, 0, 0, 0, False, None),
+        (9, "x", None, ["beta"], 5, 0, 0, 0, False, None),
+        (10, "x", "vendor-free", ["z:free"], 5, 0, 0, 0, False, None),
+    ]
+    names = "seq long, agent string, model string, candidates array<string>, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, fast boolean, one_hour long"
+    usage = conform(spark.createDataFrame(rows, names).withColumn("ts_ms", F.lit(0).cast("long")))
+    got = {r["seq"]: (r["cost_pico"] / 1e6, r["missing_pricing"]) for r in reports.price(usage, rates).collect()}
+    assert got == {
+        1: (20, False), 2: (0, False), 3: (30, False), 4: (600, False), 5: (150_000 * 6 + 10 * 24 + 60_000 * 2, False),
+        6: (150_000 * 3 + 10 * 12 + 60_000, False), 7: (0, True), 8: (0, False), 9: (15, False), 10: (0, False),
+    }
+    first = reports.price(usage.where("seq = 1"), rates, overrides=["beta"]).first()
+    assert first["cost_pico"] == 30_000_000
+    assert reports.price(usage.where("false"), rates).count() == 0
+
+
 def test_last_periods():
     assert reports.since_of_last("daily", 3, "2024-03-01") == "2024-02-28"
     assert reports.since_of_last("weekly", 2, "2024-01-03") == "2023-12-25"
