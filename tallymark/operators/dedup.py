@@ -27,7 +27,7 @@ def last_of(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return keep_best(df, keys, [F.col(seq)])
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str], when: Column | None = None) -> DataFrame:
+def first_by(df: DataFrame, keys: list[str], order: list[str | Column], when: Column | None = None) -> DataFrame:
     """The first row of each key by columns such as (source_file, seq). Rows for which `when` is not true are all kept."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     out = df.where(when if when is not None else F.lit(True)).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(

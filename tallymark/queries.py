@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import reports
 from .functions.dates import date_key
 from .functions.text import without_date
 from .functions.tokens import explained, without_cached
@@ -430,6 +431,16 @@ def price_candidates(spark, sf_dir):
     return pricing.best_candidate(u, pricing.rate_table(spark), ["seq"])
 
 
+@query("price_report", f""", k AS (SELECT u.*, unnest([{{'p': 1, 'm': 'zai/glm-4.5-flash'}}, {{'p': 2, 'm': model}}, {{'p': 3, 'm': 'moonshot/kimi-k2.5'}}]) AS cand FROM u),
+x AS (SELECT 1 FROM c LIMIT 1), r AS (SELECT k.*, rates.*, ({_PLAIN} + least(cache_creation_tokens, 40) * (2 * input_rate - create_rate))::BIGINT AS pico FROM k JOIN rates ON cand.m = price_model)
+SELECT seq, CASE WHEN fast THEN floor(pico * fast_multiplier + 0.5)::BIGINT ELSE pico END AS cost_pico, false AS missing_pricing
+FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY pico <= 0, CASE WHEN contains(price_model, '/') THEN 1 ELSE 2 END, cand.p) AS n FROM r) WHERE n = 1""")
+def price_report(spark, sf_dir):
+    u = usage_view(spark, sf_dir).withColumn("one_hour", F.least("cache_creation_tokens", F.lit(40)))
+    u = u.withColumn("candidates", F.array(F.lit("zai/glm-4.5-flash"), F.col("model"), F.lit("moonshot/kimi-k2.5")))
+    return reports.price(u, mode="calculate").select("seq", "cost_pico", "missing_pricing")
+
+
 @query("price_consensus", f"""WITH {_rates_sql()}, q AS (SELECT *, split_part(price_model, '/', 2) AS tail FROM rates WHERE contains(price_model, '/')),
 g AS (SELECT tail, input_rate, output_rate, read_rate, count(*) AS n, arg_min(price_model, {{'l': length(price_model), 'k': price_model}}) AS price_model FROM q GROUP BY ALL)
 SELECT tail, arg_max(price_model, {{'n': n, 'l': -length(price_model)}}) AS price_model, max(n) AS n FROM g GROUP BY 1""")

@@ -40,13 +40,17 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts `projects/**/*.jsonl`. Lines without valid counters, with a forbidden null or a malformed version are dropped.
 
     Advisor iterations become rows of their own. Replays are removed: of one (message, request) the main chain,
-    then the most tokens, then the fast tier, then the first row stays. One-hour cache writes are in `one_hour`.
+    then the most tokens, then the fast tier, then the first row stays; without request ids, of one message and session.
+    Cache writes for an hour are in `one_hour`.
     """
     rows = parsed(lines(spark, root, "*.jsonl", ['"usage":{']), _CLAUDE)
     u = F.col("j.message.usage")
     session, project = _claude_parts(F.col("source_file"))
     split = lambda x: F.when(x["cache_creation"].isNotNull(), zero(x["cache_creation"]["ephemeral_5m_input_tokens"]) + zero(x["cache_creation"]["ephemeral_1h_input_tokens"])).otherwise(zero(x["cache_creation_input_tokens"]))
-    null_key = F.col("value").rlike(f'"(?:{"|".join(NULL_FORBIDDEN)})"\\s*:\\s*null')
+    forbidden = f'"(?:{"|".join(NULL_FORBIDDEN)})"\\s*:\\s*null'
+    # An item of `iterations` may leave its model null; every other forbidden null drops the line.
+    open_models = F.expr("size(filter(try_variant_get(try_parse_json(value), '$.message.usage.iterations', 'array<variant>'), x -> is_variant_null(try_variant_get(x, '$.model', 'variant'))))")
+    null_key = F.when(F.col("value").rlike(forbidden), F.regexp_count("value", F.lit(forbidden)) > F.coalesce(open_models, F.lit(0))).otherwise(F.lit(False))
     valid = (
         F.col("j.timestamp").isNotNull() & strict_uint(u["input_tokens"]).isNotNull() & strict_uint(u["output_tokens"]).isNotNull()
         & (u["cache_creation_input_tokens"].isNull() | strict_uint(u["cache_creation_input_tokens"]).isNotNull())
@@ -87,7 +91,12 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
     ).select("r.*")
     main_keys = best.where("message_id is not null and not is_sidechain").select("message_id", F.coalesce("data_session", "session_id").alias("__s"), "ts_ms").distinct()
     side = best.where("message_id is not null and is_sidechain").withColumn("__s", F.coalesce("data_session", "session_id"))
-    side = side.join(main_keys, ["message_id", "__s", "ts_ms"], "left_anti").select(*best.columns)
+    side = side.join(main_keys, ["message_id", "__s", "ts_ms"], "left_anti")
+    # Where neither has a request id, a side row replays one of its message and session whatever their times.
+    lone_main = best.where("message_id is not null and not is_sidechain and request_id is null").select("message_id", F.coalesce("data_session", "session_id").alias("__s")).distinct()
+    lone = side.where("request_id is null").join(lone_main, ["message_id", "__s"], "left_anti")
+    lone = dedup.first_by(lone, ["message_id", "__s"], [(-total_tokens()).alias("t"), (~F.col("fast")).alias("f"), "source_file", "seq", "sub"])
+    side = side.where("request_id is not null").select(*best.columns).unionByName(lone.select(*best.columns))
     kept = best.where("message_id is null or not is_sidechain").unionByName(side)
     return conform(kept, "claude")
 

@@ -44,6 +44,18 @@ def test_claude(spark, tmp_path):
     ]
 
 
+def test_claude_nulls_and_replays_without_requests(spark, tmp_path):
+    step = {"type": "advisor_message", "model": None, "input_tokens": 2, "output_tokens": 1}
+    bare = lambda ts, side, out, mid="m6": {k: v for k, v in {**claude_line(mid=mid, out=out, side=side), "timestamp": ts}.items() if k != "requestId"}
+    put(
+        tmp_path / "projects/proj/sess.jsonl", claude_line(mid="m1", rid="r1", usage={"iterations": [step]}), claude_line(mid="m2", rid="r2", usage={"iterations": [{**step, "speed": None}]}),
+        bare("2026-01-02T03:04:05Z", False, 5), bare("2026-01-02T03:09:05Z", True, 50), bare("2026-01-02T03:04:05Z", True, 6, "m7"), bare("2026-01-02T03:10:05Z", True, 8, "m7"),
+        bare("2026-01-02T03:04:05Z", False, 5, "m8"), bare("2026-01-02T03:05:05Z", False, 5, "m8"),
+    )
+    rows = got(spark, "claude", tmp_path, "message_id", "output_tokens")
+    assert rows == [("m1", 5), ("m6", 5), ("m7", 8), ("m8", 5), ("m8", 5)]
+
+
 def test_codex(spark, tmp_path):
     def count(total, last=None, ts="2026-01-02T03:04:05Z"):
         info = {"total_token_usage": {"input_tokens": total, "cached_input_tokens": total // 2, "output_tokens": total // 10}}
