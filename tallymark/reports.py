@@ -49,9 +49,9 @@ def since_of_last(period: str, n: int, today: str, first_day: int = 1) -> str:
     return date(months // 12, months % 12 + 1, 1).isoformat()
 
 
-def in_range(usage: DataFrame, o: Options) -> DataFrame:
+def in_range(usage: DataFrame, o: Options, at: str = "ts_ms") -> DataFrame:
     """Rows whose day in the zone lies in the bounds."""
-    day = date_key(F.col("ts_ms"), o.zone)
+    day = date_key(F.col(at), o.zone)
     if o.since:
         usage = usage.where(day >= _day(o.since))
     if o.until:
@@ -97,14 +97,17 @@ def session_detail(priced: DataFrame, session_id: str) -> DataFrame:
     return priced.where(F.col("session_id") == session_id).orderBy("ts_ms", "source_file", "seq")
 
 
-def billing_blocks(priced: DataFrame, now_ms: int, keys: list[str] | None = None, hours: float = 5, active: bool = False, recent: bool = False) -> DataFrame:
-    """Blocks with burn rate and projection; `recent`: of the last three days or active."""
+def billing_blocks(priced: DataFrame, now_ms: int, keys: list[str] | None = None, hours: float = 5, active: bool = False, recent: bool = False, o: Options = Options()) -> DataFrame:  # noqa: B008
+    """Blocks with burn rate and projection, in order of their start; bounds apply to the day of the start, `recent`: of the last three days or active."""
+    if hours <= 0:
+        raise ValueError("the length of a block must be positive")
     keys = keys or ["agent"]
     rows = blocks.blocks(priced, keys, int(hours * 3_600_000), now_ms)
-    rows = blocks.projection(blocks.burn_rate(rows), now_ms)
+    rows = in_range(blocks.projection(blocks.burn_rate(rows), now_ms), o, "start_ms")
     if recent:
         rows = rows.where((F.col("start_ms") >= now_ms - 3 * 86_400_000) | F.col("is_active"))
-    return rows.where("is_active") if active else rows
+    rows = rows.where("is_active") if active else rows
+    return rows.orderBy(F.desc("start_ms") if o.descending else F.asc("start_ms"), *keys)
 
 
 def totals(priced: DataFrame) -> DataFrame:

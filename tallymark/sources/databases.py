@@ -10,7 +10,7 @@ from ..functions.text import non_empty
 from ..functions.tokens import explained, first_nonzero, lenient_uint
 from ..operators import dedup
 from ..schema import conform
-from .jsonl import _continue_rows
+from .jsonl import _continue_rows, continue_dev
 from .sqlite import databases, read_sqlite
 
 
@@ -113,3 +113,8 @@ def continue_db(spark: SparkSession, root: str, free: tuple[str, ...] = ("ollama
     df = rows.select("source_file", "seq", ts.alias("ts_ms"), F.coalesce("model", F.lit("unknown")).alias("model"), F.coalesce("provider", F.lit("")).alias("provider"),
                      lenient_uint(F.col("tokens_prompt")).alias("input_tokens"), lenient_uint(F.col("tokens_generated")).alias("output_tokens"))
     return _continue_rows(df, free)
+
+
+def continue_either(spark: SparkSession, root: str) -> DataFrame:
+    """The table of `devdata.sqlite` where a folder has one, else the JSON lines: both hold the same requests."""
+    return (continue_db if databases(root, "devdata.sqlite") else continue_dev)(spark, root)

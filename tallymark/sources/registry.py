@@ -11,7 +11,7 @@ from . import databases, documents, jsonl, sessions, stores
 
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "claude": jsonl.claude, "codex": jsonl.codex, "qwen": jsonl.qwen, "kimi": jsonl.kimi, "grok": jsonl.grok, "commandcode": jsonl.commandcode,
-    "continue": jsonl.continue_dev, "gemini": documents.gemini, "amp": documents.amp, "cline": documents.cline, "goose": databases.goose,
+    "continue": databases.continue_either, "gemini": documents.gemini, "amp": documents.amp, "cline": documents.cline, "goose": databases.goose,
     "hermes": databases.hermes, "kilo": databases.kilo, "zcode": databases.zcode, "continue-db": databases.continue_db,
     "openclaw": sessions.openclaw, "droid": sessions.droid, "copilot": sessions.copilot, "pi": sessions.pi, "cyberine": sessions.cyberine, "codebuff": sessions.codebuff,
     "opencode": stores.opencode, "muse": stores.muse,

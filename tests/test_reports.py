@@ -34,6 +34,10 @@ def test_reports(spark, sf):
     now = priced.agg(F.max("ts_ms")).first()[0] + 60_000
     live = reports.billing_blocks(priced.withColumn("all", F.lit("x")), now, ["all"], active=True).collect()
     assert len(live) == 1 and live[0]["projected_tokens"] >= live[0]["input_tokens"]
+    days = reports.Options(since="2024-01-05", until="20240106", descending=True)
+    starts = [r["start_ms"] for r in reports.billing_blocks(priced.withColumn("all", F.lit("x")), now, ["all"], o=days).collect()]
+    first = 1_704_412_800_000  # 2024-01-05
+    assert starts and starts == sorted(starts, reverse=True) and all(first <= s < first + 2 * 86_400_000 for s in starts)
 
 
 def test_price_by_candidates_hours_and_codex_rule(spark):

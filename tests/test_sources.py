@@ -152,6 +152,8 @@ def test_databases(spark, tmp_path):
     assert got(spark, "zcode", tmp_path / "z", "project", *COUNTS) == [("/d", "GLM-5", 10, 3, 0, 0, 0), ("ZCode", "glm-5", 1, 1, 0, 0, 0)]
     db(tmp_path / "c/devdata.sqlite", "CREATE TABLE tokens_generated (id, model, provider, tokens_generated, tokens_prompt, timestamp)", "INSERT INTO tokens_generated VALUES (1, 'm', 'openai', 3, 9, '2026-01-02 03:04:05')")
     assert got(spark, "continue-db", tmp_path / "c", "session_id", *COUNTS) == [("2026-01-02", "m", 9, 3, 0, 0, 0)]
+    put(tmp_path / "c/tokensGenerated.jsonl", {"timestamp": "2026-01-02T03:04:05Z", "model": "m", "provider": "p", "promptTokens": 9, "generatedTokens": 3})
+    assert got(spark, "continue", tmp_path / "c", "session_id", *COUNTS) == [("2026-01-02", "m", 9, 3, 0, 0, 0)]  # one of the two
     both = read_usage(spark, {"goose": str(tmp_path / "g"), "kilo": str(tmp_path / "k")})
     assert sorted(r["agent"] for r in both.collect()) == ["goose", "kilo"]
     with pytest.raises(ValueError):
