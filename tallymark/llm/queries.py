@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, sharding, token_counts, token_files, url_filter,
+    byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, sharding, spelling, token_counts, token_files, url_filter,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
     "op10_decontaminate": decontaminate.query,
     "op12_sharding": sharding.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op12_sharding": sharding.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
