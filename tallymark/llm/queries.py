@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, sharding, spelling, token_counts, token_files, url_filter,
+    byte_bpe, decontaminate, divergence, jaccard_join, language_id, license_scan, line_dedup, quality, sharding, spelling, token_counts, token_files, url_filter,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_url_filter": url_filter.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_divergence": divergence.query,
     "op12_sharding": sharding.query,
     "op13_spelling": spelling.query,
 }
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op11_divergence": divergence.ORACLE,
     "op12_sharding": sharding.ORACLE,
     "op13_spelling": spelling.ORACLE,
 }
