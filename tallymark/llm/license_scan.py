@@ -20,8 +20,8 @@ from .common import pieces, workers_ready
 #: Least share of a notice's words that must be aligned; of a line, a template of up to so many words, all must be, as
 #: the word that names the license is one of few there.
 COVERAGE, LINE = 0.75, 16
-#: Least share of aligned words from the first to the last of them.
-DENSITY = 0.5
+#: Least share of aligned words from the first to the last of them, of notices and of lines.
+DENSITY, LINE_DENSITY = 0.5, 0.8
 
 #: License notices by name.
 TEMPLATES = {
@@ -122,6 +122,30 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def shortest(words: list[str], lo: int, aligned: list[tuple[int, int]], template: list[str]) -> tuple[int, int, list[str]]:
+    """(first, stop, matched): the shortest stretch, within that of an alignment of words[lo:], that holds its words in order.
+
+    An alignment may take its first words from another notice further ahead; the stretch then shrinks to the copy itself.
+    """
+    matched = [template[j] for _, j in aligned]
+    first, stop = lo + aligned[0][0], lo + aligned[-1][0] + 1
+    best, at = (first, stop), first
+    while True:
+        k = 0
+        while at < stop and k < len(matched):
+            k += words[at] == matched[k]
+            at += 1
+        if k < len(matched):
+            return *best, matched
+        back = at
+        while k:
+            back -= 1
+            k -= words[back] == matched[k - 1]
+        if at - back < best[1] - best[0]:
+            best = (back, at)
+        at = back + 1
+
+
 class Scanner:
     """Finds each template's regions in a text: runs of its word pairs, with as many words around as it has."""
 
@@ -153,7 +177,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(name, first word, word after the last, words aligned, words of the template) of each region, by place.
 
-        Of finds that overlap the one with most aligned words stays, then the shortest.
+        Of finds that overlap the one with most aligned words stays, those between them taken off, then the shortest.
         """
         low = text.lower()
         if not any(m in low for m in self.marks):
@@ -176,21 +200,20 @@ class Scanner:
             for r, (first, last) in enumerate(runs):
                 stop = runs[r + 1][0] if r + 1 < len(runs) else len(words)
                 lo, hi = max(floor, first - n), min(stop, last + n + 1)
-                for found in self._within(words, lo, hi, template):
-                    floor = max(floor, found[1])
-                    first_word, end, aligned = found
-                    told = not self.telling[name] or not self.telling[name].isdisjoint(words[first_word:end])
-                    if told and aligned >= DENSITY * (end - first_word):
-                        out.append((name, *found, n))
+                for first_word, end, matched in self._within(words, lo, hi, template):
+                    floor = max(floor, end)
+                    told = not self.telling[name] or not self.telling[name].isdisjoint(matched)
+                    if told and len(matched) >= (LINE_DENSITY if n <= LINE else DENSITY) * (end - first_word):
+                        out.append((name, first_word, end, len(matched), n))
         kept: list[tuple[str, int, int, int, int]] = []
-        for x in sorted(out, key=lambda x: (-x[3], x[2] - x[1], x[1], x[0])):
+        for x in sorted(out, key=lambda x: (x[2] - x[1] - 2 * x[3], x[2] - x[1], x[1], x[0])):
             place = bisect_left(kept, x[1], key=lambda k: k[1])
             if (place == 0 or kept[place - 1][2] <= x[1]) and (place == len(kept) or kept[place][1] >= x[2]):
                 kept.insert(place, x)
         return kept
 
-    def _within(self, words: list[str], lo: int, hi: int, template: list[str]) -> Iterator[tuple[int, int, int]]:
-        """Aligned stretches of words[lo:hi]; what lies before and after one may hold further copies."""
+    def _within(self, words: list[str], lo: int, hi: int, template: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """Aligned stretches of words[lo:hi], with the words aligned; what lies before and after one may hold further copies."""
         n, need = len(template), self._need(template)
         todo = [(lo, hi)]
         while todo:
@@ -199,19 +222,19 @@ class Scanner:
                 continue
             at = align(words[lo:hi], template)
             if len(at) >= need:
-                first, last = lo + at[0][0], lo + at[-1][0] + 1
-                yield first, last, len(at)
+                first, last, matched = shortest(words, lo, at, template)
+                yield first, last, matched
                 todo += [(lo, first), (last, hi)]
             elif hi - lo > n:  # copies take the uniqueness from each other's words: look at overlapping parts
                 last = lo
-                for first, stop, aligned in self._parts(words, lo, hi, template):
-                    yield first, stop, aligned
+                for first, stop, matched in self._parts(words, lo, hi, template):
+                    yield first, stop, matched
                     todo.append((last, first))
                     last = stop
                 if last > lo:
                     todo.append((last, hi))
 
-    def _parts(self, words: list[str], lo: int, hi: int, template: list[str]) -> list[tuple[int, int, int]]:
+    def _parts(self, words: list[str], lo: int, hi: int, template: list[str]) -> list[tuple[int, int, list[str]]]:
         """Aligned stretches of parts of words[lo:hi], by place; where they overlap most words win, then the shortest.
 
         A part longer than the template by a half holds a copy whose middle stands in it once, so each width
@@ -226,12 +249,13 @@ class Scanner:
                     continue
                 at = align(part, template)
                 if len(at) >= need:
-                    found.add((len(at), k + at[0][0], k + at[-1][0] + 1))
-        out: list[tuple[int, int, int]] = []
-        for aligned, first, stop in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            place = bisect_left(out, (first, stop, aligned))
+                    first, stop, matched = shortest(words, k, at, template)
+                    found.add((len(at), first, stop, tuple(matched)))
+        out: list[tuple[int, int, list[str]]] = []
+        for _, first, stop, matched in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1:])):
+            place = bisect_left(out, (first, stop), key=lambda x: x[:2])
             if (place == 0 or out[place - 1][1] <= first) and (place == len(out) or out[place][0] >= stop):
-                out.insert(place, (first, stop, aligned))
+                out.insert(place, (first, stop, list(matched)))
         return out
 
 
@@ -240,10 +264,11 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str
 
     first_word counts from 0 over words `[^\\x20\\x09-\\x0D]+`; n_words: from the first to the last aligned word;
     coverage: n_aligned over the template's words, at least `coverage`, and 1 of a line of up to LINE words. At least
-    DENSITY of the words from first to last are aligned, and one of them is a word that no other template has. Words are compared in lower case without
+    DENSITY (of lines LINE_DENSITY) of the words from first to last are aligned, and one of the aligned is a word that no
+    other template has. The stretch is the shortest that holds the aligned words. Words are compared in lower case without
     the marks around them. A template of two or more words is sought where two of its neighbouring words stand
     together. Of finds that overlap only
-    that with most aligned words is told. Null and empty texts hold none. Columns of df
+    that with most aligned words, those between them taken off, is told. Null and empty texts hold none. Columns of df
     with the new names are replaced; repeated rows are scanned each; an empty table gives an empty table.
     Templates are a short list of parameters. Whole texts are scanned, and no row is moved.
     """
