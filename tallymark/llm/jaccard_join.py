@@ -77,7 +77,7 @@ def _sieve(table: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """(id, n, items) of the classes in `alive` (id, set_key), each once: whole sets, in order of their hash."""
+    """(id, n, items) of the classes in `alive` (id, least, set_key), each once: whole sets, in order of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in batches_of(batches, "text"):
@@ -85,11 +85,11 @@ def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "set_key", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["least", "n", "set_key", "items"])
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi")
-    rows = rows.mapInArrow(run, "id long, n long, set_key binary, items array<long>").join(alive.select("id", "set_key"), ["id", "set_key"], "left_semi")
-    return rows.groupBy("id", "set_key").agg(F.first("n").alias("n"), F.first("items").alias("items")).select("id", "n", "items")
+    rows = docs.select(F.col("doc_id").alias("least"), "text").join(alive.select("least").distinct(), "least", "left_semi")
+    rows = rows.mapInArrow(run, "least long, n long, set_key binary, items array<long>").join(alive, ["least", "set_key"])
+    return rows.groupBy("id").agg(F.first("n").alias("n"), F.first("items").alias("items"))
 
 
 def _entries(sets: DataFrame, often: DataFrame) -> DataFrame:
@@ -173,7 +173,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. Texts of one to four words have one shingle, the
     whole sequence; null and empty texts have none and link with nothing. Rows with equal sets link. Rows
-    that repeat a doc_id are rows of the result each, and count as one document in links. A null doc_id links
+    that repeat a doc_id are rows of the result each; each has its own set and size, and all of them are in one
+    component, also those whose texts have nothing in common or no words. A null doc_id links
     with nothing (component null). Shingles are compared by 64-bit hash: within a pair of sets the chance of a
     wrong match is their sizes' product over 2^64. Columns of docs other than these two are not read. An empty
     table gives an empty table.
@@ -189,12 +190,14 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         return out
 
     table = kept(_heads(docs, "text", "doc_id"), "heads")
-    classes = kept(table.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "classes")
+    # A class of equal sets has a number of its own, as rows of one doc_id may be in several; it is written with the table and so stays.
+    classes = table.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    classes = kept(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # The sieve: shingles of the heads of two different sets or more, then the sets that have enough of them.
     heads = table.where("head is not null").select(F.xxhash64("set_key").alias("k"), F.explode("head").alias("s"))
     known = kept(heads.groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("s"), "known")
-    alive = kept(classes.join(_sieve(table, known), "set_key", "left_semi").select("id", "set_key"), "alive")
+    alive = kept(classes.join(_sieve(table, known), "set_key", "left_semi").select("id", "least", "set_key"), "alive")
 
     # The join over what is left.
     sets = kept(_sets(docs, alive), "sets")
@@ -211,11 +214,27 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     more = kept(_remaining(posts, placed).join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(kept(_verified(sets, more), "links"))
 
+    # Rows of one doc_id are one document: its classes belong together.
+    filled = table.where("n > 0 and doc_id is not null")
+    several = filled.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    several = kept(filled.join(several, "doc_id").where("set_key <> lo").select("set_key", "lo").distinct(), "several")
+    if not several.isEmpty():
+        number = classes.select("set_key", "id")
+        own = several.join(number.withColumnRenamed("id", "a"), "set_key").join(number.select(F.col("set_key").alias("lo"), F.col("id").alias("b")), "lo")
+        links = links.union(own.select("a", "b"))
+
     # A component's name is its least doc_id.
-    merged = components(links)
-    named = classes.join(merged, classes["id"] == merged["node"], "left").select("set_key", F.coalesce("root", "id").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = table.select("doc_id", "n", "set_key").join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    merged = components(links).join(classes.select(F.col("id").alias("node"), "least"), "node")
+    least = merged.groupBy("root").agg(F.min("least").alias("component"))
+    merged = merged.join(least, "root").select("node", "component")
+    named = classes.join(merged, classes["id"] == merged["node"], "left").select("set_key", F.coalesce("component", "least").alias("component"))
+    out = table.select("doc_id", "n", "set_key").join(named, "set_key", "left")
+    # A row without words is in the component of its doc_id's other rows.
+    bare = out.where("n = 0 and doc_id is not null")
+    other = filled.select("doc_id", "set_key").join(bare.select("doc_id").distinct(), "doc_id", "left_semi").join(named, "set_key").groupBy("doc_id").agg(F.min("component").alias("of_others"))
+    bare = bare.join(other, "doc_id", "left").select("doc_id", "n", "set_key", F.col("of_others").alias("component"))
+    out = out.where("n > 0 or doc_id is null").unionByName(bare)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     out, _ = materialise(out, "components")
     for path in scratch:
         drop_path(spark, path)

@@ -431,3 +431,66 @@ def test_decontaminate_short_items(spark):
     items = spark.createDataFrame([(1, "42"), (2, "Paris 12"), (3, "what is 12 times 7?")], "item_id long, text string")
     rows = spark.createDataFrame([(1, "In 1999 there were 42 trees."), (2, "So what is 12 times 7? Say it."), (3, "So what is 13 times 8? Say it."), (4, None)], "doc_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows, items).collect()] == [(2, 3)]
+
+
+def test_license_neighbours_against_brute_force():
+    """Every exact copy is told, of lines and of notices, beside every other one; those that stand in a longer copy aren't."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+
+    def brute(text):
+        words = license_scan.normal_words(text)
+        copies = [(k, k + len(ws), name) for name, ws in scanner.words.items() for k in range(len(words) - len(ws) + 1) if words[k : k + len(ws)] == ws]
+        return sorted((k, name) for k, end, name in copies if not any(i <= k and end <= j and j - i > end - k for i, j, _ in copies))
+
+    for a in license_scan.TEMPLATES.values():
+        for b in license_scan.TEMPLATES.values():
+            for text in (f"x {a} y z {b} {a}", f"{a} {b}", f"{b} and the film was licensed under seal {a}"):
+                assert [(f[1], f[0]) for f in scanner.scan(text)] == brute(text), text
+
+
+def test_license_shortest_stretch():
+    words, template = "licensed under cc by 4.0 licensed under cc by-nc 4.0".split(), "licensed under cc by-nc 4.0".split()
+    at = license_scan.align(words, template)
+    assert license_scan.shortest(words, 0, at, template) == (5, 10, template)
+
+
+def brute_rows(rows):
+    """Components of rows (doc_id, text): those of their sets, those of one doc_id put together."""
+    def shingles(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {" ".join(w)} if w else set()
+
+    sets, ids = [shingles(t) for _, t in rows], [i for i, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+            if ids[i] is not None and ids[j] is not None and (alike or ids[i] == ids[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k in range(len(rows)):
+        if ids[k] is not None:
+            least[find(k)] = min(ids[k], least.get(find(k), ids[k]))
+    return sorted(((i, len(s), None if i is None else least[find(k)]) for k, (i, s) in enumerate(zip(ids, sets, strict=True))), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_repeated_ids_with_other_texts(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    bases = [[f"b{k}w{j}" for j in range(rng.choice([12, 24, 60]))] for k in range(12)]
+    rows = []
+    for _ in range(90):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        rows.append((rng.choice([None, *range(40)]) if rng.random() < 0.3 else rng.randrange(40, 120), rng.choice([None, "", " ".join(words), " ".join(words), " ".join(words)])))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_rows(rows)
