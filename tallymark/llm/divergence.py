@@ -19,8 +19,8 @@ from .tries import Trie
 LEAST_DOCS, SMOOTHING, WHOLE = 30, 5, 1_000_000_000
 #: Terms listed for a source.
 RANKS = 50
-#: Leaves of a task's trie at most before it is handed on, and bytes of the prefixes by which tries are merged.
-LEAVES, DEPTH = 200_000, 3
+#: Counters of a task's trie before it is handed on, and bytes of the prefixes by which tries are merged.
+LEAVES, DEPTH = 400_000, 3
 #: Terms of a stretch of a merged trie that is compared at a time, and sources compared with each other at a time.
 STRETCH, SIDE = 4096, 256
 
@@ -30,27 +30,23 @@ _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's documents (lang key, group key, text as bytes) as tries, handed on in segments by prefix."""
-    trie = Trie()
+    counts: dict[tuple[int, int], tuple[Counter, Counter]] = {}
 
     def harvest() -> pa.RecordBatch:
-        found = list(trie.segments(DEPTH))
+        found = list(Trie.counted(counts).segments(DEPTH))
+        counts.clear()
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], ["prefix", "leaves"])
 
     for batch in batches:
         langs, groups, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         for lo, hi in pieces(texts):
-            counts: dict[tuple[int, int], tuple[Counter, Counter]] = {}
             for i, text in zip(range(lo, hi), texts[lo:hi].to_pylist(), strict=True):
                 terms = text.translate(_TERMS).split()
                 n, docs = counts.setdefault((langs[i], groups[i]), (Counter(), Counter()))
                 n.update(terms)
                 docs.update(set(terms))
-            for key, (n, docs) in counts.items():
-                for term, k in n.items():
-                    trie.add(term, key, k, docs[term])
-            if trie.leaves > LEAVES:
+            if sum(len(n) for n, _ in counts.values()) > LEAVES:
                 yield harvest()
-                trie = Trie()
     yield harvest()
 
 
@@ -68,28 +64,23 @@ def _graft(least_docs: int):
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["lang", "stretch", "term", "groups", "counts"])
 
-        def traverse(trie: Trie) -> None:
-            for term, counters in trie.walk():
-                by: dict[int, list] = {}
-                for (lang, group), (n, docs) in counters.items():
-                    of = by.setdefault(lang, [0, [], []])
-                    of[0] += docs
-                    of[1].append(group)
-                    of[2].append(n)
-                rows.extend((lang, f"{part}-{number}", term, groups, ns) for lang, (docs, groups, ns) in by.items() if docs >= least_docs)
-
-        prefix, trie = None, Trie()
+        def traverse(parts: list[Trie]) -> None:
+            rows.extend((lang, f"{part}-{number}", term, groups, ns) for lang, term, groups, ns in Trie.merged(parts).walk(least_docs))
+
+        prefix, parts = None, []
         for batch in batches:
             for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != prefix:
-                    traverse(trie)
-                    prefix, trie = p, Trie()
+                    traverse(parts)
+                    prefix, parts = p, []
                     if len(rows) >= STRETCH:
                         yield out()
                         rows.clear()
                         number += 1
-                trie.merge(s)
-        traverse(trie)
+                parts.append(Trie.read(s))
+                if len(parts) > 1 and sum(len(t.terms) for t in parts[1:]) > max(LEAVES, len(parts[0].terms)):
+                    parts = [Trie.merged(parts)]
+        traverse(parts)
         yield out()
 
     return graft
@@ -99,8 +90,8 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, stretch, term, groups, counts) for rows (lang key, group key, text): the terms in at least least_docs documents of a language.
 
     Tasks count into tries and hand them on by prefix; tries of a prefix meet in one task, which walks the merged trie
-    and lists its terms in the order of their bytes. A task holds its own trie of LEAVES leaves or those of a batch more,
-    and on the other side the distinct terms of one prefix of DEPTH bytes.
+    and lists its terms in the order of their bytes. A task holds its own trie of LEAVES counters or those of a few MB of text
+    more, and on the other side the distinct terms of one prefix of DEPTH bytes: segments merge as they come, not all at the end.
     """
     workers_ready(docs.sparkSession)
     planted = docs.select("lang", "group", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_plant, "prefix binary, leaves binary")
@@ -199,8 +190,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pairs = left.join(right, "lang_name").where("a <> b").join(sums, ["a", "b"], "left")  # its rows are the result's
     pairs = pairs.select("lang_name", "source_name", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     leading = compared.where("b is null").join(left, "a").select("lang_name", "source_name", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value")
-    place = F.row_number().over(Window.partitionBy("lang_name", "source_name", "part").orderBy(F.desc("value"), "item"))
-    ranked = pairs.unionByName(leading).withColumn("rank", place).where((F.col("part") == "pair") | (F.col("rank") <= ranks))
+    place = F.row_number().over(Window.partitionBy("lang_name", "source_name").orderBy(F.desc("value"), "item"))
+    leading = leading.withColumn("rank", place).where(F.col("rank") <= ranks)  # tasks leave out what can't be among them before the shuffle
+    ranked = pairs.withColumn("rank", place).unionByName(leading)
     return ranked.select(F.col("lang_name").alias("lang"), F.col("source_name").alias("source"), "part", "item", "value", "rank")
 
 
