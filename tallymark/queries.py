@@ -11,7 +11,7 @@ from . import reports
 from .functions.dates import date_key
 from .functions.text import without_date
 from .functions.tokens import explained, without_cached
-from .operators import aggregate, blocks, carry, dedup, joins, pricing, resolve
+from .operators import aggregate, blocks, carry, dedup, joins, price_book, pricing, resolve
 from .plans.bench_view import USAGE_SQL, usage_view
 from .schema import COUNTERS, total_tokens
 
@@ -200,12 +200,6 @@ def dedup_components(spark, sf_dir):
     return _components(usage_view(spark, sf_dir))
 
 
-@query("dedup_components_all")
-def dedup_components_all(spark, sf_dir):
-    """The same as dedup_components, under its earlier name for every row; tested against brute force."""
-    return _components(usage_view(spark, sf_dir))
-
-
 # Order-dependent operators
 
 
@@ -441,11 +435,52 @@ def price_report(spark, sf_dir):
     return reports.price(u, mode="calculate").select("seq", "cost_pico", "missing_pricing")
 
 
-@query("price_consensus", f"""WITH {_rates_sql()}, q AS (SELECT *, split_part(price_model, '/', 2) AS tail FROM rates WHERE contains(price_model, '/')),
-g AS (SELECT tail, input_rate, output_rate, read_rate, count(*) AS n, arg_min(price_model, {{'l': length(price_model), 'k': price_model}}) AS price_model FROM q GROUP BY ALL)
-SELECT tail, arg_max(price_model, {{'n': n, 'l': -length(price_model)}}) AS price_model, max(n) AS n FROM g GROUP BY 1""")
-def price_consensus(spark, sf_dir):
-    return pricing.consensus(pricing.rate_table(spark))
+_VARIANTS = [("''", "''"), ("'SNAP-'", "''"), ("'cat.'", "''"), ("'z'", "''"), ("''", "'-free'"), ("'none/'", "'@x'")]
+
+
+def _layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, price_book.Book]:
+    """Spellings of the usage view's models, and a book whose snapshot and catalogue are lists derived from them."""
+    models = usage_view(spark, sf_dir).select("model").distinct()
+    row = lambda name, rate: [name.alias("name"), *[F.lit(rate * (i + 1)).cast("long").alias(f"{k}_rate") for i, k in enumerate(pricing.KINDS)]]
+    rest = lambda df, exact: df.select("*", *[F.lit(None).cast("long").alias(f"{k}_above") for k in pricing.KINDS], F.lit(True).alias("create_explicit"), F.lit(True).alias("read_explicit"),
+                                       F.lit(None).cast("long").alias("threshold"), F.lit(1.0).alias("fast_multiplier"), F.lit(exact).alias("exact_only"), F.lit(None).cast("long").alias("context"))
+    named = lambda prefix: F.concat(F.lit(prefix), "model")
+    snapshot = rest(models.select(*row(named("snap-"), 7)), False)
+    tails = models.select(*row(named("p1/z"), 3)).union(models.select(*row(named("p22/z"), 3))).union(models.select(*row(named("p/z"), 4)))
+    catalogue = rest(models.select(*row(named("cat-"), 2)), True).unionByName(rest(tails, False))
+    names = models.select(F.explode(F.array(*[F.concat(F.lit(a.strip("'")), "model", F.lit(b.strip("'"))) for a, b in _VARIANTS])).alias("model"))
+    return names, price_book.book(spark, snapshot, catalogue, overrides={"grok-4.3": {"input": 9}, "none/own": {"input": 1}})
+
+
+_IDENT = "replace(replace(lower({}), '.', '-'), '@', '-')"
+_PLAIN_KEY = "replace(replace({}, '.', '-'), '@', '-')"
+
+
+@query("price_layers", f"""WITH {USAGE_SQL}, {_rates_sql()}, m AS (SELECT DISTINCT model AS base FROM u),
+p AS (SELECT 0 AS tab, price_model AS name FROM rates UNION ALL SELECT 0, 'snap-' || base FROM m),
+c AS (SELECT 1 AS tab, 'cat-' || base AS name, 2 AS rate, true AS exact_only FROM m UNION ALL SELECT 1, x || base, r, false FROM m, (VALUES ('p1/z', 3), ('p22/z', 3), ('p/z', 4)) AS t(x, r)),
+n AS (SELECT {" UNION SELECT ".join(f"{a} || base || {b} AS model FROM m" for a, b in _VARIANTS)}),
+h AS (
+  SELECT model, 0 AS level, tab, name FROM n JOIN p ON model = name UNION ALL SELECT model, 100, tab, name FROM n JOIN c ON model = name
+  UNION ALL SELECT model, 101, tab, name FROM n JOIN c ON exact_only AND {_PLAIN_KEY.format("model")} = {_PLAIN_KEY.format("name")}
+  UNION ALL SELECT model, 1000, 0, min(name) FROM n JOIN p ON {_IDENT.format("model")} = {_IDENT.format("name")} GROUP BY 1
+  UNION ALL SELECT model, 1100, 1, min(name) FROM n JOIN c ON {_IDENT.format("model")} = {_IDENT.format("name")} GROUP BY 1
+  UNION ALL SELECT model, 2000, NULL, NULL FROM n WHERE regexp_matches(lower(model), '[-:]free$')
+  UNION ALL SELECT model, 3000, 1, 'p1/' || model FROM n WHERE 'p1/' || model IN (SELECT name FROM c))
+SELECT model, tab::INTEGER AS tab, name, CASE WHEN level < 1000 THEN 'exact' WHEN level < 2000 THEN 'identity' WHEN level < 3000 THEN 'free' ELSE 'consensus' END AS how
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY level) AS r FROM h) WHERE r = 1""")
+def price_layers(spark, sf_dir):
+    names, of = _layered(spark, sf_dir)
+    return price_book.resolve_names(names, of, fuzzy=False).select("model", "tab", "name", "how")
+
+
+@query("price_scheduled_override", f"""WITH {USAGE_SQL}, {_schedule_sql()}, t AS (SELECT * REPLACE (ts_ms + 86400000000 AS ts_ms) FROM u WHERE model LIKE 'deepseek%'),
+x AS (SELECT *, {_PEAK} AS peak, model = 'deepseek-v4-pro' AS own FROM t JOIN sched ON s_model = model AND ts_ms >= from_ms AND ts_ms < to_ms)
+SELECT seq, (input_tokens * (CASE WHEN own THEN 100000000 WHEN peak THEN p1 ELSE o1 END) + output_tokens * (CASE WHEN own THEN 100000000 WHEN peak THEN p2 ELSE o2 END)
+  + cache_creation_tokens * (CASE WHEN peak THEN p3 ELSE o3 END) + cache_read_tokens * (CASE WHEN peak THEN p4 ELSE o4 END))::BIGINT AS cost_pico FROM x""")
+def price_scheduled_override(spark, sf_dir):
+    u = usage_view(spark, sf_dir).where("model like 'deepseek%'").withColumns({"ts_ms": F.col("ts_ms") + 86_400_000_000, "fast": F.lit(False)})
+    return reports.price(u, mode="calculate", overrides={"deepseek-v4-pro": {"input": 100, "output": 100}}).select("seq", "cost_pico")
 
 
 @query("missing_pricing", "SELECT agent, model, count(*) AS n FROM c WHERE missing_pricing GROUP BY 1, 2")

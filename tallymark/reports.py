@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.dates import date_key
-from .operators import aggregate, blocks, pricing, resolve
+from .operators import aggregate, blocks, price_book, price_rows
 from .schema import COUNTERS, total_tokens
 
 #: Keys that a report without cost leaves out.
@@ -59,20 +59,24 @@ def in_range(usage: DataFrame, o: Options, at: str = "ts_ms") -> DataFrame:
     return usage
 
 
-def price(usage: DataFrame, rates: DataFrame | None = None, mode: str = "auto", aliases: dict[str, str] | None = None, overrides: list[str] | None = None) -> DataFrame:
+def price(
+    usage: DataFrame, rates: DataFrame | price_book.Book | None = None, mode: str = "auto", aliases: dict[str, str] | None = None, overrides: dict[str, dict] | list[str] | None = None,
+) -> DataFrame:
     """usage with cost_pico and missing_pricing: priced by a row's candidates or model, by rate, era and time of day.
 
-    Cache writes for an hour (`one_hour`, if there is such a column) cost their own rate, and rows of the agent codex follow its
-    rule for long requests. `overrides` are the names in `rates` that the user set: they go before other candidates.
+    `rates` is a book of layered lists, a flat rate table, or nothing for the library's own rates. `overrides` are the rates
+    that the user set, by name: they patch a flat table's rows, count before other candidates and hold in every era. Names
+    alone say which rows of `rates` are the user's. `aliases` are the user's other names for models.
     """
     spark = usage.sparkSession
-    table = pricing.rate_table(spark) if rates is None else rates
-    named = resolve.price_usage(usage, table, aliases, overrides)
-    hour = F.col("one_hour") if "one_hour" in usage.columns else None
-    codex = F.col("agent") == "codex" if "agent" in usage.columns else None
-    out = pricing.with_cost(named, table, pricing.schedule_table(spark), mode, "priced_as", hour, codex)
-    missing = F.col("model").isNotNull() & ~F.col("price_found") & (total_tokens() > 0) & (F.lit(mode == "calculate") | F.col("cost_usd").isNull()) & F.lit(mode != "display")
-    return out.withColumn("missing_pricing", missing).drop("priced_as", "price_found")
+    own = overrides if isinstance(overrides, dict) else {n: {} for n in overrides or ()}
+    if isinstance(rates, price_book.Book):
+        of = rates
+    elif rates is None:
+        of = price_book.book(spark, overrides=own, user_aliases=aliases)
+    else:
+        of = price_book.flat_book(rates, own, aliases)
+    return price_rows.price(usage, of, mode)
 
 
 def periods(priced: DataFrame, period: str = "daily", o: Options = Options()) -> DataFrame:  # noqa: B008

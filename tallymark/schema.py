@@ -17,8 +17,14 @@ USAGE = T.StructType([
     T.StructField("message_id", T.StringType()), T.StructField("request_id", T.StringType()), T.StructField("is_sidechain", T.BooleanType()),
     T.StructField("fast", T.BooleanType()), T.StructField("cost_usd", T.DoubleType()), T.StructField("credits", T.DoubleType()),
     T.StructField("message_count", T.LongType()), T.StructField("version", T.StringType()), T.StructField("reset_ms", T.LongType()),
-    T.StructField("one_hour", T.LongType()),
+    T.StructField("one_hour", T.LongType()), T.StructField("exact_candidates", T.ArrayType(T.StringType())), T.StructField("override_candidates", T.ArrayType(T.StringType())),
+    T.StructField("first_found", T.BooleanType()), T.StructField("extra_as_output", T.BooleanType()), T.StructField("create_as_input", T.BooleanType()),
+    T.StructField("ignores_time", T.BooleanType()), T.StructField("recorded_zero", T.BooleanType()), T.StructField("is_fallback", T.BooleanType()),
 ])
+#: Agents whose extra tokens are billed as output; whose first priced name counts even if it costs nothing; whose record of a zero cost is the price.
+EXTRA_AS_OUTPUT = {"amp", "codebuff", "copilot", "droid", "gemini", "goose", "hermes", "kilo", "opencode", "qwen", "zcode", "antigravity"}
+FIRST_FOUND = {"antigravity", "gemini", "grok", "kilo", "kimi", "openclaw", "qwen", "zcode"}
+RECORDED_ZERO = {"cline", "continue", "cyberine", "opencode"}
 COUNTERS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens"]
 
 
@@ -32,6 +38,10 @@ def conform(df: DataFrame, agent: str | None = None) -> DataFrame:
             col: Column = F.lit(agent)
         elif f.name in have:
             col = F.col(f"`{have[f.name]}`").cast(kind)
+        elif agent is not None and f.name in ("first_found", "extra_as_output"):
+            col = F.lit(agent in (FIRST_FOUND if f.name == "first_found" else EXTRA_AS_OUTPUT))
+        elif agent in RECORDED_ZERO and f.name == "recorded_zero" and "cost_usd" in have:
+            col = F.col("cost_usd") == 0
         else:
             col = F.lit(None).cast(kind)
         if f.name in COUNTERS:

@@ -218,6 +218,7 @@ def grok(spark: SparkSession, root: str) -> DataFrame:
     ).where("input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + reasoning_tokens > 0")
     plain = F.regexp_replace("model", "-build$", "")
     df = df.withColumn("candidates", F.array_distinct(F.array(*[F.concat(F.lit(p), m) for m in (F.col("model"), plain) for p in ("", "xai/", "x-ai/")])))
+    df = df.withColumn("exact_candidates", F.col("candidates"))
     own = F.concat_ws("|", "source_file", "session_id", "ts_ms", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
     df = df.withColumn("__k", F.coalesce("event", own))
     return conform(dedup.first_by(df, ["__k", "model"], ["source_file", "seq"]), "grok")

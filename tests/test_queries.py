@@ -51,28 +51,25 @@ def test_tokens_and_text(spark):
 
 
 def rates(spark):
-    listed = {
-        "meta/tbtest-spark-1.3": (1.25, 4.25, 0, 0.15), "openrouter/meta/tbtest-spark-1.3": (1.25, 4.25, 0, 0.15), "openrouter/meta/tbtest-spark-1.3-contributor": (0.1, 0.2, 0, 0.002),
-        "sail/acme-org/TBTEST-GLM-9": (0.98, 3.08, 0, 0.18), "acmeai/tbtest-glm-9": (1.4, 4.4, 0, 0.26), "together_ai/acme-org/TBTEST-GLM-9": (1.4, 4.4, 0, 0.26),
-        "novita/acme-org/tbtest-glm-9": (1.4, 4.4, 0, 0.26), "moonshot/tbtest-kimi-7": (0.6, 3, 0, 0.1), "tbtest-kimi-7-turbo": (9, 9, 0, 0.9), "tbtest-paid-free": (2, 2, 0, 0.2),
-        "claude-opus-4": (15, 75, 18.75, 1.5),
-    }
+    """Two providers agree on alder-7, a third asks less; birch only as a dearer variant; cedar-free is sold in spite of its name."""
+    listed = {"north/alder-7": (2, 8, 0, 0.5), "east/lumber/alder-7": (2, 8, 0, 0.5), "w/alder-7": (1, 3, 0, 0.1), "north/alder-7-long": (40, 90, 0, 4), "birch-2-grand": (7, 7, 0, 0.7),
+              "south/birch-2": (0.6, 3, 0, 0.1), "cedar-free": (5, 5, 0, 0.5), "claude-opus-4": (15, 75, 18.75, 1.5)}
     return pricing.rate_table(spark, pricing.rate_rows(listed, {}))
 
 
 def test_resolution(spark):
-    names = ["tbtest-spark-1.3", "tbtest-paid-free", "tbtest-spark-1.3-contributor-free", "vendor/claude-opus-4-20250514", "claude-opus-4-5", "nothing-like-it", "TBTEST.PAID@FREE"]
+    names = ["alder-7", "cedar-free", "oak-free", "vendor/claude-opus-4-20250514", "claude-opus-4-5", "nothing-like-it", "CEDAR@FREE"]
     got = {r["model"]: (r["price_model"], r["how"]) for r in resolve.resolve(spark.createDataFrame([(n,) for n in names], "model string"), rates(spark)).collect()}
-    assert got["tbtest-spark-1.3"] == ("meta/tbtest-spark-1.3", "consensus") and got["tbtest-paid-free"] == ("tbtest-paid-free", "exact")
-    assert got["tbtest-spark-1.3-contributor-free"] == (None, "free") and got["vendor/claude-opus-4-20250514"] == ("claude-opus-4", "fuzzy")
-    assert got["claude-opus-4-5"] == (None, None) and got["nothing-like-it"] == (None, None) and got["TBTEST.PAID@FREE"][1] == "identity"
+    assert got["alder-7"] == ("north/alder-7", "consensus") and got["cedar-free"] == ("cedar-free", "exact")
+    assert got["oak-free"] == (None, "free") and got["vendor/claude-opus-4-20250514"] == ("claude-opus-4", "fuzzy")
+    assert got["claude-opus-4-5"] == (None, None) and got["nothing-like-it"] == (None, None) and got["CEDAR@FREE"][1] == "identity"
 
 
 def test_candidates(spark):
-    rows = spark.createDataFrame([(1, ["tbtest-kimi-7", "moonshot/tbtest-kimi-7"]), (2, ["none"])], "id long, candidates array<string>")
+    rows = spark.createDataFrame([(1, ["birch-2", "south/birch-2"]), (2, ["none"])], "id long, candidates array<string>")
     rows = rows.withColumns({c: F.lit(n).cast("long") for c, n in (("input_tokens", 1_000_000), ("output_tokens", 0), ("cache_creation_tokens", 0), ("cache_read_tokens", 0))})
     got = pricing.best_candidate(rows, rates(spark), ["id"]).collect()
-    assert [(r["id"], r["price_model"], r["cost_pico"]) for r in got] == [(1, "moonshot/tbtest-kimi-7", 600_000_000_000)]
+    assert [(r["id"], r["price_model"], r["cost_pico"]) for r in got] == [(1, "south/birch-2", 600_000_000_000)]
 
 
 def test_blocks_boundaries(spark):
@@ -120,7 +117,7 @@ def test_components_cover_every_row(spark):
     for r in events:
         a, b = top(f"u{r['user_id']}"), top(f"k{r['user_id'] % 25}-{r['k'] // 90}")
         root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in QUERIES["dedup_components_all"](spark, folder).collect()}
+    got = {r["node"]: r["root"] for r in QUERIES["dedup_components"](spark, folder).collect()}
     assert got == {x: top(x) for x in root} and len(got) == 200
 
 
