@@ -48,6 +48,38 @@ def without_fork_prefix(child: DataFrame, parent: DataFrame, fork: str, order: s
     return joined.withColumn("__first", first).where(F.col("__n") >= F.col("__first")).select(*child.columns)
 
 
+def without_replayed(
+    events: DataFrame, file: str, parent: str, is_fork: str, order: str, signature: list[str], ts: str, forked: str, burst: str, pause: int = 1000,
+) -> DataFrame:
+    """events without what forked files repeat of their parent; all columns stay.
+
+    Each row names its file, the parent file (null where it isn't there), whether the file is a fork, and the time of the fork
+    (null: any). A fork's rows that equal the parent's row by row from the first on, in order and in `signature`, go; of the
+    parent only rows before the first that is later than the fork count. Where already the first row differs, and the file
+    begins with a burst (`burst`, its first time), the rows that follow it with at most `pause` ms between them go instead.
+
+    Rows meet by file and ordinal in one equi-join; how far a parent's rows reach is told by their latest time so far. Files
+    that aren't forks don't take part. Null times: never later than a fork, and the end of a burst.
+    """
+    w = Window.partitionBy(file).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = events.withColumns({"__n": F.row_number().over(w), "__late": F.max(ts).over(so_far)})
+    fork = F.coalesce(F.col(is_fork), F.lit(False))
+    child = numbered.where(fork)
+    known = numbered.select(F.col(file).alias("__f"), F.col("__n").alias("__m"), F.col("__late").alias("__p_late"), *[F.col(s).alias(f"__p_{i}") for i, s in enumerate(signature)])
+    joined = child.join(known, (F.col(parent) == F.col("__f")) & (F.col("__n") == F.col("__m")), "left")
+    same = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"__p_{i}")) for i, s in enumerate(signature)])
+    same = same & F.col("__m").isNotNull() & F.coalesce(F.col("__p_late") <= F.col(forked), F.lit(True))
+    own = Window.partitionBy(file).orderBy("__n")
+    gap = F.col(ts) - F.coalesce(F.lag(ts).over(own), F.col(burst))
+    near = F.coalesce(gap.between(0, pause), F.lit(False)) & (F.lag(ts).over(own).isNotNull() | (F.col("__n") == 1))
+    work = joined.withColumns({"__same": same, "__near": near})
+    whole = own.rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumns({"__repeats": F.min("__same").over(whole), "__bursts": F.min("__near").over(whole), "__starts": F.first("__same").over(whole)})
+    gone = F.col("__repeats") | (~F.col("__starts") & F.col(burst).isNotNull() & F.col("__bursts"))
+    return events.where(~fork).unionByName(work.where(~gone).select(*events.columns))
+
+
 def active_path(nodes: DataFrame, tree: str = "source_file", node: str = "id", parent: str = "parent_id", order: str = "seq") -> DataFrame:
     """Rows on the way from each tree's last row to its root.
 

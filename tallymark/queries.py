@@ -296,6 +296,29 @@ def fork_prefix_removal(spark, sf_dir):
     return joins.without_fork_prefix(u.where("agent = 'view'"), u.where("agent = 'click'"), "project", "seq", ["sig"]).select("project", "seq")
 
 
+@query("fork_replays", """, f AS (SELECT 'f' || user_id AS file, 'f' || (user_id % 40 - 10) AS parent, user_id % 40 >= 10 AS is_fork, seq, ts_ms, k % 2 AS sig, user_id FROM u),
+ev AS (SELECT *, row_number() OVER w AS n, max(ts_ms) OVER w AS late, 1704067200000 + user_id * 7200000 AS forked, CASE WHEN user_id % 2 = 0 THEN min(ts_ms) OVER (PARTITION BY file) END AS burst FROM f WINDOW w AS (PARTITION BY file ORDER BY seq)),
+j AS (SELECT ev.*, coalesce(p.sig = ev.sig AND p.late <= ev.forked, false) AS same,
+  ev.ts_ms - CASE WHEN ev.n = 1 THEN ev.burst ELSE lag(ev.ts_ms) OVER (PARTITION BY ev.file ORDER BY ev.n) END BETWEEN 0 AND 3600000 AS near FROM ev LEFT JOIN ev p ON p.file = ev.parent AND p.n = ev.n WHERE ev.is_fork),
+g AS (SELECT *, bool_and(same) OVER w AS repeats, first_value(same) OVER w AS starts, bool_and(coalesce(near, false)) OVER w AS bursts FROM j WINDOW w AS (PARTITION BY file ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT file, seq FROM ev WHERE NOT is_fork UNION ALL SELECT file, seq FROM g WHERE NOT (repeats OR (NOT starts AND burst IS NOT NULL AND bursts))""")
+def fork_replays(spark, sf_dir):
+    u = usage_view(spark, sf_dir)
+    start = F.min("ts_ms").over(Window.partitionBy("file"))
+    rows = u.select(F.concat(F.lit("f"), "user_id").alias("file"), F.concat(F.lit("f"), F.col("user_id") % 40 - 10).alias("parent"), (F.col("user_id") % 40 >= 10).alias("is_fork"), "seq", "ts_ms",
+                    (F.col("k") % 2).alias("sig"), (F.lit(1_704_067_200_000) + F.col("user_id") * 7_200_000).alias("forked"), "user_id")
+    rows = rows.withColumn("burst", F.when(F.col("user_id") % 2 == 0, start))
+    return joins.without_replayed(rows, "file", "parent", "is_fork", "seq", ["sig"], "ts_ms", "forked", "burst", 3_600_000).select("file", "seq")
+
+
+@query("report_by_model", f""", d AS (SELECT *, strftime(date_trunc('week', DATE '1970-01-01' + day_no::INTEGER), '%Y-%m-%d') AS period FROM c )
+SELECT period, model, {SUMS}, sum({TOKENS})::BIGINT AS total_tokens, bool_or(is_sidechain) AS is_fallback, bool_or(missing_pricing) AS missing_pricing FROM d GROUP BY 1, 2""")
+def report_by_model(spark, sf_dir):
+    p = priced(spark, sf_dir).withColumns({"is_fallback": F.col("is_sidechain"), "reasoning_tokens": F.lit(0).cast("long")})
+    rows = reports.by_model(p, "weekly").select("period", F.explode("models").alias("m"))
+    return rows.select("period", "m.model", *[f"m.{c}" for c in COUNTERS], "m.total_tokens", "m.is_fallback", "m.missing_pricing")
+
+
 # Billing blocks
 
 _BLOCK_SQL = """WITH RECURSIVE {usage}{cost},

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.dates import date_key
+from .functions.dates import bucket, date_key
 from .operators import aggregate, blocks, price_book, price_rows
 from .schema import COUNTERS, total_tokens
 
@@ -85,6 +85,26 @@ def periods(priced: DataFrame, period: str = "daily", o: Options = Options()) ->
     return rows.orderBy(F.desc("period") if o.descending else F.asc("period"))
 
 
+def by_model(priced: DataFrame, period: str = "daily", o: Options = Options()) -> DataFrame:  # noqa: B008
+    """One agent's report with a record for each model of a period: (period, sums, cost, last_ms, models by name).
+
+    period: daily, weekly (from Monday), monthly or session. A model's record tells whether the model of any of its requests
+    was a fallback, and whether any lacks a price. Two aggregations; a period nests one row a model.
+    """
+    rows = in_range(priced, o)
+    key = F.col("session_id") if period == "session" else bucket(date_key(F.col("ts_ms"), o.zone), period, 1)
+    counts = [*COUNTERS, "reasoning_tokens"]
+    flag = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)))
+    each = rows.withColumn("total_tokens", total_tokens()).groupBy(key.alias("period"), "model").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in (*counts, "total_tokens")], F.sum("cost_pico").alias("cost_pico"), F.max("ts_ms").alias("last_ms"),
+        flag("is_fallback").alias("is_fallback"), flag("missing_pricing").alias("missing_pricing"),
+    )
+    model = F.struct("model", *counts, "total_tokens", "is_fallback", "missing_pricing")
+    out = each.groupBy("period").agg(*[F.sum(c).alias(c) for c in (*counts, "total_tokens", "cost_pico")], F.max("last_ms").alias("last_ms"), F.array_sort(F.collect_list(model)).alias("models"))
+    out = out.withColumn("cost", aggregate.dollars(F.col("cost_pico")))
+    return out.orderBy(F.desc("period") if o.descending else F.asc("period"))
+
+
 def unified(priced: DataFrame, period: str = "daily", o: Options = Options()) -> DataFrame:  # noqa: B008
     """The report over all agents, agents nested in their period."""
     rows = aggregate.by_period_and_agent(in_range(priced, o), period, o.zone)

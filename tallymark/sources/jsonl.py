@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import lenient_millis, strict_millis
 from ..functions.text import basename, is_free, non_empty, part, percent_decoded, stem
-from ..functions.tokens import explained, lenient_uint, strict_uint, without_cached, zero
+from ..functions.tokens import explained, lenient_uint, strict_uint, zero
 from ..operators import carry, dedup
 from ..schema import conform, total_tokens
 from .files import lines, parsed, whole
@@ -101,54 +101,6 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
     return conform(kept, "claude")
 
 
-_RAW = "input_tokens: string, prompt_tokens: string, output_tokens: string, completion_tokens: string, reasoning_output_tokens: string, reasoning_tokens: string, cached_input_tokens: string, cache_read_input_tokens: string, cached_tokens: string, cache_write_input_tokens: string, cache_creation_input_tokens: string, total_tokens: string"
-_CODEX = (
-    "type string, timestamp string, payload struct<type: string, model: string, id: string, forked_from_id: string, thread_settings: struct<service_tier: string>, "
-    f"info: struct<model: string, total_token_usage: struct<{_RAW}>, last_token_usage: struct<{_RAW}>>>"
-)
-
-
-def _raw_usage(u):
-    """Counters of a raw usage struct: cached and written parts never exceed the input."""
-    inp = F.coalesce(strict_uint(u["input_tokens"]), strict_uint(u["prompt_tokens"]), F.lit(0).cast("long"))
-    out = F.coalesce(strict_uint(u["output_tokens"]), strict_uint(u["completion_tokens"]), F.lit(0).cast("long"))
-    reasoning = F.coalesce(strict_uint(u["reasoning_output_tokens"]), strict_uint(u["reasoning_tokens"]), F.lit(0).cast("long"))
-    cached = F.least(F.coalesce(strict_uint(u["cached_input_tokens"]), strict_uint(u["cache_read_input_tokens"]), strict_uint(u["cached_tokens"]), F.lit(0).cast("long")), inp)
-    written = F.least(F.coalesce(strict_uint(u["cache_write_input_tokens"]), strict_uint(u["cache_creation_input_tokens"]), F.lit(0).cast("long")), inp - cached)
-    return F.when(u.isNotNull(), F.struct(inp.alias("input"), cached.alias("cached"), written.alias("written"), out.alias("output"), reasoning.alias("reasoning")))
-
-
-def codex(spark: SparkSession, root: str, fallback_model: str = "gpt-5") -> DataFrame:
-    """Session logs with running totals: increases per event, models and service tiers carried forward, repeated events once.
-
-    An event takes the log's own last usage where its total moved, else the difference of the totals.
-    """
-    rows = parsed(lines(spark, root, "*.jsonl", ['"turn_context"', '"token_count"', '"thread_settings_applied"']), _CODEX)
-    p = F.col("j.payload")
-    token = (F.col("j.type") == "event_msg") & (p["type"] == "token_count")
-    said = F.when((F.col("j.type") == "turn_context") | token, F.coalesce(non_empty(p["model"]), non_empty(p["info"]["model"])))
-    setting = (F.col("j.type") == "event_msg") & (p["type"] == "thread_settings_applied") & p["thread_settings"]["service_tier"].isNotNull()
-    tier = F.when(p["thread_settings"]["service_tier"].isin("default", "standard"), F.lit("standard")).when(p["thread_settings"]["service_tier"].isin("fast", "priority"), F.lit("fast"))
-    key, order = ["source_file"], ["seq"]
-    work = rows.withColumns({"total": F.when(token, _raw_usage(p["info"]["total_token_usage"])), "own": F.when(token, _raw_usage(p["info"]["last_token_usage"])), "is_token": token})
-    before = F.last("total", ignorenulls=True).over(Window.partitionBy("source_file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    work = work.withColumns({"model": carry.carried(said, key, order), "tier": carry.carried_struct(setting, tier, key, order), "prev": before}).where("is_token")
-    step = lambda f: F.greatest(F.col(f"total.{f}") - F.coalesce(F.col(f"prev.{f}"), F.lit(0)), F.lit(0).cast("long")).alias(f)
-    diff = F.when(F.col("total").isNotNull(), F.struct(*[step(f) for f in ("input", "cached", "written", "output", "reasoning")]))
-    moved = F.col("total").isNull() | ~F.col("total").eqNullSafe(F.col("prev"))
-    work = work.withColumn("u", F.coalesce(F.when(moved, F.col("own")), diff)).where("u is not null and u.input + u.cached + u.written + u.output + u.reasoning > 0")
-    session = F.regexp_replace(F.regexp_replace("source_file", r"^.*?/sessions/", ""), r"\.jsonl$", "")
-    cached = F.least("u.cached", "u.input")
-    out = work.select(
-        "source_file", "seq", lenient_millis(F.trim("j.timestamp")).alias("ts_ms"), session.alias("session_id"), F.coalesce("model", F.lit(fallback_model)).alias("model"),
-        without_cached(F.col("u.input") - F.least("u.written", F.col("u.input") - cached), cached).alias("input_tokens"), F.col("u.output").alias("output_tokens"),
-        F.least("u.written", F.col("u.input") - cached).alias("cache_creation_tokens"), cached.alias("cache_read_tokens"), F.col("u.reasoning").alias("reasoning_tokens"),
-        (F.col("tier") == "fast").alias("fast"),
-    ).where("ts_ms is not null")
-    out = dedup.first_by(out, ["ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "reasoning_tokens"], ["source_file", "seq"])
-    return conform(out, "codex")
-
-
 def qwen(spark: SparkSession, root: str) -> DataFrame:
     """`projects/<project>/chats/*.jsonl`; a total beyond the counters counts as output or extra; equal rows once."""
     rows = parsed(lines(spark, root, "*.jsonl", ['"usageMetadata"']), "type string, sessionId string, timestamp string, model string, usageMetadata struct<promptTokenCount: string, candidatesTokenCount: string, cachedContentTokenCount: string, thoughtsTokenCount: string, totalTokenCount: string>")
@@ -282,4 +234,4 @@ def _continue_rows(df: DataFrame, free: tuple[str, ...]) -> DataFrame:
     return conform(df, "continue")
 
 
-__all__ = ["claude", "codex", "commandcode", "continue_dev", "grok", "kimi", "qwen", "strict_millis"]
+__all__ = ["claude", "commandcode", "continue_dev", "grok", "kimi", "qwen", "strict_millis"]

@@ -7,6 +7,8 @@ import sqlite3
 
 import pytest
 
+from tallymark import reports
+from tallymark.sources import codex
 from tallymark.sources.registry import SOURCES, read_usage
 
 
@@ -70,6 +72,60 @@ def test_codex(spark, tmp_path):
     ]
 
 
+def codex_count(n, ts, last=None, total=None, model=None):
+    info = {"total_token_usage": total or {"input_tokens": n, "output_tokens": 1, "total_tokens": n + 1}}
+    if last:
+        info["last_token_usage"] = last
+    return {"timestamp": ts, "type": "event_msg", "payload": {"type": "token_count", "info": info, **({"model": model} if model else {})}}
+
+
+def codex_meta(i, parent=None, ts="2026-01-02T04:00:00Z", spawned=False):
+    fork = {"source": {"subagent": {"thread_spawn": {"parent_thread_id": parent}}}} if spawned else {"forked_from_id": parent}
+    return {"type": "session_meta", "timestamp": ts, "payload": {"id": i, **(fork if parent else {})}}
+
+
+def test_codex_forks(spark, tmp_path):
+    at = lambda m, s=0: f"2026-01-02T03:{m:02d}:{s:02d}Z"
+    own = lambda n: {"input_tokens": n, "output_tokens": 1}
+    parent = [codex_count(10, at(1)), codex_count(30, at(2)), codex_count(60, at(3)), codex_count(100, "2026-01-02T05:00:00Z")]
+    late = lambda n, m: codex_count(n, f"2026-01-02T06:{m:02d}:00Z")
+    put(tmp_path / "sessions/a.jsonl", codex_meta("A"), *parent)
+    put(tmp_path / "sessions/b.jsonl", codex_meta("B", "A"), late(10, 1), late(30, 2), late(60, 3), late(70, 4))  # repeats three, of which all stand before the fork
+    put(tmp_path / "sessions/c.jsonl", codex_meta("C", "A", at(2, 30)), late(10, 11), late(30, 12), late(60, 13))  # the parent's third came after the fork
+    put(tmp_path / "sessions/d.jsonl", codex_meta("D", "gone"), codex_count(100, at(20), own(7)), codex_count(200, at(20, 1), own(8)), codex_count(300, at(20, 2), own(9)), codex_count(400, at(20, 4), own(6)))  # a burst, then a pause
+    put(tmp_path / "sessions/e.jsonl", codex_meta("E", "A", spawned=True), codex_count(100, at(30), own(11)), codex_count(200, at(30, 5), own(12)))  # nothing repeated, no burst
+    put(tmp_path / "sessions/f.jsonl", codex_meta("F", "F"), codex_count(13, at(40)))  # its own parent: none
+    put(tmp_path / "archived_sessions/a.jsonl", codex_meta("A"), codex_count(999, at(1)))  # the same file, archived
+    rows = got(spark, "codex", tmp_path, "session_id", "input_tokens")
+    assert rows == [("a", 10), ("a", 20), ("a", 30), ("a", 40), ("b", 10), ("c", 30), ("d", 6), ("e", 11), ("e", 12), ("f", 13)]
+
+
+def test_codex_models_tiers_and_headless(spark, tmp_path):
+    own = lambda n, **kw: {"input_tokens": n, "output_tokens": 1, **kw}
+    count = lambda n, m, model=None, **kw: codex_count(0, f"2026-01-02T03:{m:02d}:00Z", own(n, **kw), total={"input_tokens": n * 7, "output_tokens": 0}, model=model)
+    tier = lambda t: {"timestamp": "2026-01-02T03:00:00Z", "type": "event_msg", "payload": {"type": "thread_settings_applied", "thread_settings": {"service_tier": t}}}
+    put(
+        tmp_path / "sessions/x.jsonl", count(1, 1), count(2, 2), count(3, 3, "gpt-5.5"), tier("priority"), count(4, 4), tier("odd"), count(5, 5), {"type": "turn_context", "payload": {"metadata": {"model": "codex-auto-review"}}},
+        count(6, 6, total_tokens=20), count(0, 7, "unused", output_tokens=0),
+    )
+    put(tmp_path / "sessions/h.jsonl", {"model": "m-h", "timestamp": 1_767_000_000, "usage": {"prompt_tokens": 9, "completion_tokens": 2}}, {"data": {"usage": {"input": 8, "output": 1, "cached_tokens": 3}, "created_at": "2026-01-02T03:04:05Z"}},
+        {"result": {"usage": {"input_tokens": 0}}}, {"response": {"usage": {"total_tokens": 4}, "model_name": "codex-auto-review", "createdAt": "2026-08-01T00:00:00Z"}}, "{broken \"usage\":1")
+    rows = got(spark, "codex", tmp_path, "session_id", "input_tokens", "model", "is_fallback", "fast", "extra_tokens", "cache_read_tokens")
+    assert rows == [
+        ("h", 0, "gpt-5.6-luna", True, False, 4, 0), ("h", 5, "m-h", False, False, 0, 3), ("h", 9, "m-h", False, False, 0, 0), ("x", 1, "gpt-5", True, False, 0, 0), ("x", 2, "gpt-5", False, False, 0, 0),
+        ("x", 3, "gpt-5.5", False, False, 0, 0), ("x", 4, "gpt-5.5", False, True, 0, 0), ("x", 5, "gpt-5.5", False, False, 0, 0), ("x", 6, "gpt-5.2-codex", True, False, 13, 0),
+    ]
+    (tmp_path / "config.toml").write_text('model = "x"\nservice_tier = "fast" # for all\n')
+    fast = [r["fast"] for r in codex.codex(spark, str(tmp_path)).where("session_id = 'x'").orderBy("seq").collect()]
+    assert fast == [True] * 6
+    same = [codex_meta("S"), codex_count(10, "2026-01-02T03:00:00Z", own(10), total=own(10))]
+    for name in ("s1", "s2"):
+        put(tmp_path / f"two/sessions/{name}.jsonl", *same)
+    assert codex.codex(spark, str(tmp_path / "two")).count() == 1 and codex.codex(spark, str(tmp_path / "two"), by_session=True, user_aliases={"gpt-5": "mine"}).where("model = 'mine'").count() == 2
+    report = reports.by_model(reports.price(codex.codex(spark, str(tmp_path / "two"))), "session").collect()
+    assert [(r["period"], r["input_tokens"], [(m["model"], m["is_fallback"]) for m in r["models"]]) for r in report] == [("s1", 10, [("gpt-5", True)])]
+
+
 def test_qwen(spark, tmp_path):
     line = {"type": "assistant", "sessionId": "s", "timestamp": "2026-01-02T03:04:05Z", "model": "q3", "usageMetadata": {"promptTokenCount": 10, "candidatesTokenCount": 4, "cachedContentTokenCount": 2, "totalTokenCount": 20}}
     put(tmp_path / "projects/p1/chats/c.jsonl", line, line, {**line, "type": "user"})
