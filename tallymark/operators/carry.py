@@ -41,9 +41,9 @@ def deltas(df: DataFrame, totals: list[str], partition: list[str], order: list[s
     return work.where(first | ~same).select(*df.columns, *cols)
 
 
-def intervals(df: DataFrame, totals: list[str], partition: list[str], ts: str = "ts_ms", since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
-    """Increases between cumulative snapshots in [since_ms, until_ms); the last snapshot before `since_ms` is the baseline."""
-    w = Window.partitionBy(*partition).orderBy(ts)
+def intervals(df: DataFrame, totals: list[str], partition: list[str], ts: str = "ts_ms", since_ms: int | None = None, until_ms: int | None = None, tie: str = "seq") -> DataFrame:
+    """Increases between cumulative snapshots in [since_ms, until_ms); the last snapshot before `since_ms` is the baseline. Snapshots of one time go by `tie`."""
+    w = Window.partitionBy(*partition).orderBy(ts, *[c for c in (tie,) if c in df.columns])
     cols = [F.greatest(F.col(t) - F.coalesce(F.lag(t).over(w), F.lit(0)), F.lit(0).cast("long")).alias(t) for t in totals]
     out = df.select(*[c for c in df.columns if c not in totals], *cols)
     if since_ms is not None:

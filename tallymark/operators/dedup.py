@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import forget, written
+
 
 def keep_best(df: DataFrame, keys: list[str], order: list[Column], when: Column | None = None) -> DataFrame:
     """One row of each key: the greatest by `order`. Rows for which `when` is false are all kept.
@@ -53,21 +55,23 @@ def without_replays(df: DataFrame, tokens: Column) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, root) of an undirected graph by propagation of least labels with pointer jumping.
 
-    Each round is a map-side combined aggregation; lineage is cut with checkpoint() where the session has a
-    checkpoint folder. Ends when no label changes; raises if labels still move after `rounds` rounds.
+    Each round is a map-side combined aggregation whose labels are written to the shared folder, so the plan doesn't grow
+    with the rounds and a lost executor costs a reread. Ends when no label changes; raises if labels still move after
+    `rounds` rounds.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    cut = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d)
-    both = cut(both)
-    label = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")))
+    both, _ = written(both, "edges")
+    label, path = written(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")), "labels")
     for _ in range(rounds):
         near = both.join(label.select(F.col("x").alias("y"), F.col("root").alias("r")), "y").groupBy("x").agg(F.min("r").alias("r"))
-        step = label.join(near, "x").select("x", F.least("root", "r").alias("root"))
-        hop = step.join(step.select(F.col("x").alias("root"), F.col("root").alias("far")), "root", "left").select("x", F.coalesce("far", "root").alias("root"))
-        hop = cut(hop)
-        moved = hop.join(label.withColumnRenamed("root", "old"), "x").where("root <> old").limit(1).count()
-        label = hop
-        if not moved:
+        step = label.join(near, "x").select("x", F.least("root", "r").alias("root"), F.col("root").alias("old"))
+        far = label.join(near, "x").select(F.col("x").alias("root"), F.least("root", "r").alias("far"))
+        hop = step.join(far, "root", "left").select("x", F.coalesce("far", "root").alias("root"), (F.coalesce("far", "root") != F.col("old")).alias("moved"))
+        hop, hop_path = written(hop, "labels")
+        forget(spark, path)
+        label, path = hop.drop("moved"), hop_path
+        if hop.where("moved").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -213,7 +213,7 @@ def cumulative_to_delta(spark, sf_dir):
 
 
 @query("intervals_by_session_model", """, t AS (SELECT *, sum(input_tokens) OVER (PARTITION BY session_id, model ORDER BY ts_ms, seq) AS total FROM u),
-d AS (SELECT *, total - coalesce(lag(total) OVER (PARTITION BY session_id, model ORDER BY ts_ms), 0) AS input FROM t)
+d AS (SELECT *, total - coalesce(lag(total) OVER (PARTITION BY session_id, model ORDER BY ts_ms, seq), 0) AS input FROM t)
 SELECT seq, input::BIGINT AS input FROM d WHERE ts_ms >= 1704844800000 AND ts_ms < 1705708800000""")
 def intervals_by_session_model(spark, sf_dir):
     w = Window.partitionBy("session_id", "model").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)

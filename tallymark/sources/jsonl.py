@@ -40,17 +40,23 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts `projects/**/*.jsonl`. Lines without valid counters, with a forbidden null or a malformed version are dropped.
 
     Advisor iterations become rows of their own. Replays are removed: of one (message, request) the main chain,
-    then the most tokens, then the fast tier, then the first row stays; without request ids, of one message and session.
+    then the most tokens, then the fast tier, then the first row stays. Of one message, session and time side chains give way to
+    the main chain and one of them stays, whatever their request ids; without request ids, of one message and session.
     Cache writes for an hour are in `one_hour`.
     """
     rows = parsed(lines(spark, root, "*.jsonl", ['"usage":{']), _CLAUDE)
     u = F.col("j.message.usage")
     session, project = _claude_parts(F.col("source_file"))
     split = lambda x: F.when(x["cache_creation"].isNotNull(), zero(x["cache_creation"]["ephemeral_5m_input_tokens"]) + zero(x["cache_creation"]["ephemeral_1h_input_tokens"])).otherwise(zero(x["cache_creation_input_tokens"]))
-    forbidden = f'"(?:{"|".join(NULL_FORBIDDEN)})"\\s*:\\s*null'
-    # An item of `iterations` may leave its model null; every other forbidden null drops the line.
+    # Whether a forbidden key is null at any depth. The text of a parsed value spells keys plainly and escapes quotes within
+    # strings, so there a key and its null stand behind a brace or comma only where they are meant. An item of
+    # `iterations` may leave its model null.
+    keys = "|".join(NULL_FORBIDDEN)
+    spelled = F.expr("to_json(try_parse_json(value))")
+    nulls = F.regexp_count(spelled, F.lit(f'[{{,]"(?:{keys})":null'))
     open_models = F.expr("size(filter(try_variant_get(try_parse_json(value), '$.message.usage.iterations', 'array<variant>'), x -> is_variant_null(try_variant_get(x, '$.model', 'variant'))))")
-    null_key = F.when(F.col("value").rlike(forbidden), F.regexp_count("value", F.lit(forbidden)) > F.coalesce(open_models, F.lit(0))).otherwise(F.lit(False))
+    may_be = F.col("value").rlike(f'"(?:{keys})"\\s*:\\s*null|\\\\u00[2-7][0-9a-fA-F]')
+    null_key = F.when(may_be, nulls > F.greatest(F.coalesce(open_models, F.lit(0)), F.lit(0))).otherwise(F.lit(False))
     valid = (
         F.col("j.timestamp").isNotNull() & strict_uint(u["input_tokens"]).isNotNull() & strict_uint(u["output_tokens"]).isNotNull()
         & (u["cache_creation_input_tokens"].isNull() | strict_uint(u["cache_creation_input_tokens"]).isNotNull())
@@ -95,8 +101,11 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
     # Where neither has a request id, a side row replays one of its message and session whatever their times.
     lone_main = best.where("message_id is not null and not is_sidechain and request_id is null").select("message_id", F.coalesce("data_session", "session_id").alias("__s")).distinct()
     lone = side.where("request_id is null").join(lone_main, ["message_id", "__s"], "left_anti")
-    lone = dedup.first_by(lone, ["message_id", "__s"], [(-total_tokens()).alias("t"), (~F.col("fast")).alias("f"), "source_file", "seq", "sub"])
-    side = side.where("request_id is not null").select(*best.columns).unionByName(lone.select(*best.columns))
+    side = side.where("request_id is not null").unionByName(lone)
+    # Side rows of one time are one request, and so are all times that hold one without a request id.
+    better = F.struct((-total_tokens()).alias("t"), (~F.col("fast")).alias("f"), place.alias("p"))
+    one = side.groupBy("message_id", "__s", "ts_ms").agg(F.min_by(F.struct(*side.columns), better).alias("r"), F.max(F.col("request_id").isNull()).alias("alone")).select("r.*", "alone")
+    side = one.groupBy("message_id", "__s", F.when(~F.col("alone"), F.col("ts_ms")).alias("at")).agg(F.min_by(F.struct(*best.columns), better).alias("r")).select("r.*")
     kept = best.where("message_id is null or not is_sidechain").unionByName(side)
     return conform(kept, "claude")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import lenient_millis, strict_millis
@@ -61,6 +61,18 @@ def openclaw(spark: SparkSession, root: str) -> DataFrame:
     return conform(left.unionByName(db), "openclaw")
 
 
+def without_brackets(x: Column) -> Column:
+    """A text without what stands in square brackets, nested ones too; an open bracket takes the rest, a closing one alone goes."""
+    chars = F.split(x, "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(at: Column, c: Column) -> Column:
+        depth = F.when(c == "[", at["depth"] + 1).when(c == "]", F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        return F.struct(depth.alias("depth"), F.when((depth == 0) & ~c.isin("[", "]"), F.concat(at["out"], c)).otherwise(at["out"]).alias("out"))
+
+    return F.when(F.contains(x, F.lit("[")) | F.contains(x, F.lit("]")), F.reduce(chars, start, step)["out"]).otherwise(x)
+
+
 def droid(spark: SparkSession, root: str, suffix: str = ".settings.json") -> DataFrame:
     """A settings snapshot a session, the latest time winning, then the later file; models without brackets and doubled dashes."""
     ddl = "model string, providerLock string, providerLockTimestamp string, tokenUsage struct<inputTokens: string, outputTokens: string, cacheCreationTokens: string, cacheReadTokens: string, thinkingTokens: string, totalTokens: string>"
@@ -74,7 +86,7 @@ def droid(spark: SparkSession, root: str, suffix: str = ".settings.json") -> Dat
     inp, out, created, read, thought = (lenient_uint(t[c]) for c in ("inputTokens", "outputTokens", "cacheCreationTokens", "cacheReadTokens", "thinkingTokens"))
     out_all, rest = explained(lenient_uint(t["totalTokens"]) - thought, inp, out, created, read)
     work = rows.withColumns({"session_id": session, "dir": F.regexp_replace("source_file", "/[^/]*$", "")}).join(side, ["session_id", "dir"], "left")
-    plain = lambda m: F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(m, r"^custom:", "")), r"\[[^\]]*\]", ""), r"[\s.]+", "-"), r"-+", "-"), F.lit(""))
+    plain = lambda m: F.nullif(F.regexp_replace(F.regexp_replace(F.lower(without_brackets(F.regexp_replace(m, "^custom:", ""))), r"[\s.-]+", "-"), "^-+|-+$", ""), F.lit(""))
     lock = F.lower(F.coalesce(non_empty(F.col("j.providerLock")), F.lit("unknown")))
     usual = F.when(lock == "anthropic", "claude-unknown").when(lock == "openai", "gpt-unknown").when(lock == "google", "gemini-unknown").when(lock == "xai", "grok-unknown").otherwise("unknown")
     df = work.select(

@@ -58,6 +58,54 @@ def test_claude_nulls_and_replays_without_requests(spark, tmp_path):
     assert rows == [("m1", 5), ("m6", 5), ("m7", 8), ("m8", 5), ("m8", 5)]
 
 
+def test_claude_side_chains_of_one_time(spark, tmp_path):
+    one = lambda rid, side, out, mid="m1", ts="2026-01-02T03:04:05.000Z": claude_line(mid=mid, rid=rid, side=side, out=out, ts=ts)
+    bare = lambda *a, **kw: {k: v for k, v in one("", *a, **kw).items() if k != "requestId"}
+    put(
+        tmp_path / "projects/proj/sess.jsonl",
+        one("r1", True, 5), one("r2", True, 8), one("r3", True, 8), one("r4", True, 7, ts="2026-01-02T03:05:05.000Z"),  # two times: two requests
+        one("r1", True, 9, "m2"), one("r2", False, 1, "m2"), one("r3", False, 2, "m2"), one("r4", True, 9, "m2"),  # main chains stay, side chains go, in any order
+        bare(True, 5, "m3", "2026-01-02T03:00:00.000Z"), one("r9", True, 6, "m3"), bare(True, 4, "m3"),  # joined by those without a request id
+    )
+    rows = got(spark, "claude", tmp_path, "message_id", "output_tokens", "is_sidechain", "seq")
+    assert rows == [("m1", 7, True, 3), ("m1", 8, True, 1), ("m2", 1, False, 5), ("m2", 2, False, 6), ("m3", 6, True, 9)]
+
+
+def test_claude_forbidden_nulls_at_any_depth(spark, tmp_path):
+    keep = [
+        claude_line(mid="k1", rid="1", content='a text with "id":null and {"id":null} in it'), claude_line(mid="k2", rid="2", deep=[{"other": None, "ids": None}]),
+        claude_line(mid="k3", rid="3", usage={"iterations": [{"type": "x", "model": None}, {"type": "y", "model": None}]}),
+        '{"t":"\\u0022id\\u0022:null",' + json.dumps(claude_line(mid="k4", rid="4"))[1:],
+    ]
+    drop = [
+        claude_line(mid="d1", rid="5", deep=[[{"a": [{"id": None}]}]]), '{"\\u0069d":null,' + json.dumps(claude_line(mid="d2", rid="6"))[1:], claude_line(mid="d3", rid="7", usage={"iterations": [{"type": "x", "model": None, "speed": None}]}),
+        claude_line(mid="d4", rid="8", usage={"iterations": [{"type": "x", "model": None, "more": [{"model": None}]}]}), claude_line(mid="d5", rid="9", deep={"model": None}, usage={"iterations": []}),
+    ]
+    put(tmp_path / "projects/proj/sess.jsonl", *[json.loads(json.dumps(x)) if isinstance(x, dict) else x.replace('", "', '","').replace('": ', '":') for x in keep + drop])
+    assert [r[0] for r in got(spark, "claude", tmp_path, "message_id")] == ["k1", "k2", "k3", "k4"]
+
+
+def test_brackets(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.sources.sessions import without_brackets
+
+    names = ["a[b]c", "a[b[c]d]e", "a]b", "a[b", "[x]", "plain", ""]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(without_brackets(F.col("n"))).collect()] == ["ac", "ae", "ab", "a", "", "plain", ""]
+
+
+def test_journal_frames():
+    from tallymark.sources.stores import USAGE_METHOD, journal_records
+
+    def frame(n, extra=b"", size=None):
+        body = USAGE_METHOD + b',"params":{"n":%d}%s}' % (n, extra)
+        return (len(body) if size is None else size).to_bytes(4, "little") + body
+
+    inner = b',"s":"' + USAGE_METHOD.replace(b'"', b"'") + b'"'
+    assert journal_records(b"xx" + frame(1) + b"noise" + frame(2, inner) + frame(3, size=9_999) + frame(4, size=5) + frame(5)) == ['{"n": 1}', '{"n": 2}', '{"n": 5}']
+    assert journal_records(USAGE_METHOD + b"}") == journal_records(b"") == [] and journal_records((len(USAGE_METHOD) + 1).to_bytes(4, "little") + USAGE_METHOD + b"}") == []
+
+
 def test_codex(spark, tmp_path):
     def count(total, last=None, ts="2026-01-02T03:04:05Z"):
         info = {"total_token_usage": {"input_tokens": total, "cached_input_tokens": total // 2, "output_tokens": total // 10}}
