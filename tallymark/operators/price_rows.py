@@ -25,10 +25,13 @@ def _have(usage: DataFrame, name: str, kind: str, default) -> Column:
 
 
 def name_lists(usage: DataFrame) -> Column:
-    """The names that may price a row: those that count if the user overrides them, those that count if listed exactly, and the others."""
+    """The names that may price a row: those that count if the user overrides them, those that count if listed exactly, and the others.
+
+    The others are the candidates, also where there are none of them, and the model where candidates are null.
+    """
     names = lambda c: F.coalesce(F.array_compact(c), F.array().cast("array<string>")) if c in usage.columns else F.array().cast("array<string>")
-    given = names("candidates")
-    own = F.when(F.size(given) > 0, given).when(F.col("model").isNotNull(), F.array("model")).otherwise(given)
+    model = F.array_compact(F.array("model"))
+    own = F.coalesce(F.array_compact("candidates"), model) if "candidates" in usage.columns else model
     return F.struct(names("override_candidates").alias("overridden"), names("exact_candidates").alias("listed"), own.alias("others"))
 
 
