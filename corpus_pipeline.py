@@ -28,20 +28,26 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each component of linked documents the one with the least doc_id stays."""
+    """Operator 2: of each component of linked documents the one with the least doc_id stays.
+
+    Rows of one doc_id are one document and stay or go together. Texts without words and rows without a doc_id stay.
+    """
     found = jaccard_join.jaccard_join(docs)
     go = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that hold a benchmark item, also with other numbers or names, go."""
+    """Operator 10: documents that hold a benchmark item, also with other numbers or names, go.
+
+    Null and empty texts stay. Rows of one doc_id with other texts are judged each, rows without a doc_id too. Without items all stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, items).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: token ids of each document, with the digests of the ids and of the bytes they decode to."""
+    """Operator 6: token ids of each document, with the digests of the ids and of the bytes they decode to. A null text is empty; each row has its own."""
     import public_tokenizers
 
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
