@@ -16,7 +16,8 @@ from ..operators import carry, dedup, joins
 from ..operators.price_book import user_alias
 from ..schema import conform
 from ..scratch import written
-from .files import lines, parsed, whole
+from .files import first_lines, lines, listing, parsed, whole
+from .pruning import threshold, with_parents
 
 #: The model that reviews stand for from a day on, the newest first, and the model before all of them.
 REVIEW_MODELS = [
@@ -155,20 +156,18 @@ def fast_by_config(spark: SparkSession, root: str) -> bool:
     return not rows.where(F.regexp_replace(F.trim(F.col("s")[1]), "^[\"']+|[\"']+$", "").isin("fast", "priority")).isEmpty()
 
 
-def codex(spark: SparkSession, root: str, fallback_model: str = FALLBACK, user_aliases: dict[str, str] | None = None, by_session: bool = False) -> DataFrame:
+def codex(spark: SparkSession, root: str, fallback_model: str = FALLBACK, user_aliases: dict[str, str] | None = None, by_session: bool = False, since: str | None = None) -> DataFrame:
     """Usage rows of session logs: forked sessions without what they repeat of their parent, equal requests once.
 
-    `by_session`: equal requests of different sessions are kept, as a report by session needs them. Lines that aren't JSON
-    objects, events without time and requests without tokens are dropped; an empty folder gives an empty table.
+    `by_session`: equal requests of different sessions are kept, as a report by session needs them. `since` (a day): only files
+    written since and the direct parents of those are read beyond their first line; rows of earlier days in them stay. Lines
+    that aren't JSON objects, events without time and requests without tokens are dropped; an empty folder gives an empty table.
     """
-    every = lines(spark, root, "*.jsonl")
-    marked = F.lit(False)
-    for m in MARKERS:
-        marked = marked | F.contains("value", F.lit(m))
-    rows = parsed(every.where(marked), _DDL)
-    first = every.where("seq = 0").withColumn("j", F.from_json("value", _DDL, {"mode": "PERMISSIVE"}))
-    found, _ = written(events(rows, fallback_model), "codex-events")
+    listed = listing(spark, root, "*.jsonl")
+    first = first_lines(listed).withColumn("j", F.from_json("value", _DDL, {"mode": "PERMISSIVE"}))
     files, _ = written(lineage(first, root), "codex-files")
+    rows = parsed(lines(spark, root, "*.jsonl", MARKERS, with_parents(listed, files, threshold(since))), _DDL)
+    found, _ = written(events(rows, fallback_model), "codex-events")
     kept = joins.without_replayed(found.join(files, "source_file"), "source_file", "parent_file", "is_fork", "seq", COUNTS, "ts_ms", "forked_ms", "burst_ms", PAUSE)
     other = user_alias(F.col("model"), user_aliases or {})
     kept = kept.where("ts_ms is not null").withColumn("model", F.coalesce(other, "model"))

@@ -1,32 +1,68 @@
-"""Scans of log files: whole files and their lines, always with the file's path, a line number and the file's time."""
+"""Scans of log files: a listing of files with their time and size, whole files, and numbered lines read by byte ranges."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import percent_decoded
+from ..shipping import python_ready
+from . import ranges
+
+#: Bytes of a file that one call reads; a file of more is read by several tasks.
+STEP = 16 << 20
 
 
 def _path() -> Column:
     return percent_decoded(F.regexp_replace("_metadata.file_path", "^file:(//)?", ""))
 
 
+def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(source_file, mtime_ms, size): every file under root whose name fits the glob; no file is opened."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return df.select(_path().alias("source_file"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_size").alias("size"))
+
+
 def whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(source_file, value, mtime_ms): every file under root whose name fits the glob."""
+    """(source_file, value, mtime_ms): every file under root whose name fits the glob, as one text."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(_path().alias("source_file"), "value", F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"))
 
 
-def lines(spark: SparkSession, root: str, glob: str, markers: list[str] | None = None) -> DataFrame:
-    """(source_file, seq, value, mtime_ms): the lines that hold one of the markers; seq is the line's number from 0."""
-    rows = whole(spark, root, glob).select("source_file", "mtime_ms", F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    if markers:
-        any_ = F.lit(False)
-        for m in markers:
-            any_ = any_ | F.contains("value", F.lit(m))
-        rows = rows.where(any_)
-    return rows.select("source_file", F.col("seq").cast("long").alias("seq"), "value", "mtime_ms")
+def _spread(parts: DataFrame) -> DataFrame:
+    """Ranges over as many tasks as the session has room for, however few files list them."""
+    spark = parts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return parts.repartition(n, "source_file", "start")
+
+
+def lines(
+    spark: SparkSession, root: str, glob: str, markers: list[str] | None = None, files: DataFrame | None = None, step: int = STEP,
+) -> DataFrame:
+    """(source_file, seq, value, mtime_ms): the lines that hold one of the markers; seq is the line's number from 0.
+
+    Files are read in ranges of `step` bytes. A line belongs to the range in which it begins, so each is read once and whole,
+    however long. Of files of several ranges the line breaks are counted first and summed over the ranges before. `files`
+    stands for the listing where only some files are wanted; others aren't opened. Lines end at line feeds; bytes that aren't
+    UTF-8 become replacement characters. Empty files have no lines.
+    """
+    python_ready(spark)
+    files = listing(spark, root, glob) if files is None else files
+    long = lambda n: F.lit(n).cast("long")
+    starts = F.explode(F.sequence(long(0), F.col("size") - 1, long(step)))
+    parts = files.where("size > 0").select("source_file", "mtime_ms", "size", starts.alias("start"))
+    counted = _spread(parts.where(F.col("size") > step)).mapInArrow(ranges.counter(step), ranges.COUNTED)
+    earlier = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("source_file", "start", F.coalesce(F.sum("n").over(earlier), long(0)).alias("first"))
+    numbered = parts.join(first, ["source_file", "start"], "left").withColumn("first", F.coalesce("first", long(0)))
+    return _spread(numbered).mapInArrow(ranges.reader(step, markers or []), ranges.LINES)
+
+
+def first_lines(files: DataFrame) -> DataFrame:
+    """(source_file, seq, value, mtime_ms): the first line of each file of a listing, of which nothing more is read."""
+    python_ready(files.sparkSession)
+    parts = files.where("size > 0").select("source_file", "mtime_ms", "size", F.lit(0).cast("long").alias("start"))
+    return _spread(parts).mapInArrow(ranges.heads, ranges.LINES)
 
 
 def parsed(df: DataFrame, ddl: str) -> DataFrame:

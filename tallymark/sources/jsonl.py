@@ -10,7 +10,8 @@ from ..functions.text import basename, is_free, non_empty, part, percent_decoded
 from ..functions.tokens import explained, lenient_uint, strict_uint, zero
 from ..operators import carry, dedup
 from ..schema import conform, total_tokens
-from .files import lines, parsed, whole
+from .files import lines, listing, parsed, whole
+from .pruning import recent_groups, threshold
 
 #: Keys that may not be set to null anywhere in a line of the first agent's logs.
 NULL_FORBIDDEN = ["id", "cwd", "model", "speed", "costUSD", "version", "sessionId", "requestId", "isApiErrorMessage", "cache_read_input_tokens", "cache_creation_input_tokens"]
@@ -36,15 +37,17 @@ def _claude_parts(path):
     return session, F.coalesce(project, F.lit("Unknown Project"))
 
 
-def claude(spark: SparkSession, root: str) -> DataFrame:
+def claude(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
     """Transcripts `projects/**/*.jsonl`. Lines without valid counters, with a forbidden null or a malformed version are dropped.
 
     Advisor iterations become rows of their own. Replays are removed: of one (message, request) the main chain,
     then the most tokens, then the fast tier, then the first row stays. Of one message, session and time side chains give way to
     the main chain and one of them stays, whatever their request ids; without request ids, of one message and session.
-    Cache writes for an hour are in `one_hour`.
+    Cache writes for an hour are in `one_hour`. `since` (a day): sessions none of whose files was written since are not opened;
+    rows of earlier days in the others stay.
     """
-    rows = parsed(lines(spark, root, "*.jsonl", ['"usage":{']), _CLAUDE)
+    files = recent_groups(listing(spark, root, "*.jsonl"), _claude_parts(F.col("source_file"))[0], threshold(since))
+    rows = parsed(lines(spark, root, "*.jsonl", ['"usage":{'], files), _CLAUDE)
     u = F.col("j.message.usage")
     session, project = _claude_parts(F.col("source_file"))
     split = lambda x: F.when(x["cache_creation"].isNotNull(), zero(x["cache_creation"]["ephemeral_5m_input_tokens"]) + zero(x["cache_creation"]["ephemeral_1h_input_tokens"])).otherwise(zero(x["cache_creation_input_tokens"]))
