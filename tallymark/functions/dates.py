@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import datetime
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +23,24 @@ def date_key(ts_ms: Column, zone: str = "UTC") -> Column:
     return local_time(ts_ms, zone).cast("date").cast("string")
 
 
+def day_start_ms(day: str, zone: str = "UTC", plus: int = 0) -> int:
+    """The first instant (epoch ms) at which a zone's date is a day (`YYYYMMDD` or with dashes) or later; `plus` days on.
+
+    Where clocks skip midnight it is the moment they do, where midnight comes twice the first, and of a day that a zone left
+    out the begin of the next. Unknown zones and days that aren't dates raise a ValueError.
+    """
+    try:
+        at = zoneinfo.ZoneInfo(zone)
+    except (zoneinfo.ZoneInfoNotFoundError, IsADirectoryError):
+        raise ValueError(f"unknown time zone: {zone}") from None
+    wanted = datetime.datetime.strptime(day.replace("-", ""), "%Y%m%d").date() + datetime.timedelta(days=plus)
+    around = (wanted - datetime.date(1970, 1, 1)).days * 24 * HOUR_MS
+    begin = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
+    local = lambda ms: (begin + datetime.timedelta(milliseconds=ms)).astimezone(at).date()
+    span = range(around - 36 * HOUR_MS, around + 36 * HOUR_MS)
+    return span[bisect.bisect_left(span, wanted, key=local)]
+
+
 def week_start(date: Column, first_day: int = 0) -> Column:
     """First day of a date's week; 0: weeks begin on Sunday, 1: on Monday, and so on."""
     d = date.cast("date")

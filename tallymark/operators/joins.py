@@ -23,6 +23,21 @@ def cascade(levels: list[DataFrame], keys: list[str]) -> DataFrame:
     return kept
 
 
+def foremost(rows: DataFrame, level: str, keys: list[str], within: list[str]) -> DataFrame:
+    """Rows that share no key with a row of a lower level in the same group `within`; rows of one level stay beside each other.
+
+    Unlike `cascade`, a row that goes still outranks later levels. Any key alone is enough, null keys match nothing. The
+    lowest level of each key is an aggregation, so a hot key is one row in the join.
+    """
+    kept = rows
+    for i, k in enumerate(keys):
+        best = rows.where(F.col(k).isNotNull()).groupBy(*within, k).agg(F.min(level).alias(f"__best_{i}"))
+        kept = kept.join(best, [*within, k], "left")
+    for i in range(len(keys)):
+        kept = kept.where(F.col(f"__best_{i}").isNull() | (F.col(f"__best_{i}") >= F.col(level)))
+    return kept.select(*rows.columns)
+
+
 def after_latest(events: DataFrame, marks: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Events later than the latest mark of their keys; all events of keys without a mark. Null keys are keys."""
     latest = marks.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(ts).alias("__latest"))

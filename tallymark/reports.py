@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.dates import bucket, date_key
+from .functions.dates import bucket, date_key, day_start_ms
 from .operators import aggregate, blocks, price_book, price_rows
 from .schema import COUNTERS, total_tokens
 
@@ -30,11 +30,6 @@ class Options:
     descending: bool = False
 
 
-def _day(text: str) -> str:
-    t = text.replace("-", "")
-    return f"{t[:4]}-{t[4:6]}-{t[6:]}"
-
-
 def since_of_last(period: str, n: int, today: str, first_day: int = 1) -> str:
     """First day (YYYY-MM-DD) of the last n periods, the present one counted."""
     from datetime import date, timedelta
@@ -50,12 +45,11 @@ def since_of_last(period: str, n: int, today: str, first_day: int = 1) -> str:
 
 
 def in_range(usage: DataFrame, o: Options, at: str = "ts_ms") -> DataFrame:
-    """Rows whose day in the zone lies in the bounds."""
-    day = date_key(F.col(at), o.zone)
+    """Rows whose day in the zone lies in the bounds; told by their time alone, so that the bounds reach the scan."""
     if o.since:
-        usage = usage.where(day >= _day(o.since))
+        usage = usage.where(F.col(at) >= day_start_ms(o.since, o.zone))
     if o.until:
-        usage = usage.where(day <= _day(o.until))
+        usage = usage.where(F.col(at) < day_start_ms(o.until, o.zone, plus=1))
     return usage
 
 

@@ -7,13 +7,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import antigravity, codex, databases, documents, jsonl, sessions, stores
+from . import antigravity, codex, copilot, databases, documents, jsonl, sessions, stores
 
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "claude": jsonl.claude, "codex": codex.codex, "qwen": jsonl.qwen, "kimi": jsonl.kimi, "grok": jsonl.grok, "commandcode": jsonl.commandcode,
     "continue": databases.continue_either, "gemini": documents.gemini, "amp": documents.amp, "cline": documents.cline, "goose": databases.goose,
     "hermes": databases.hermes, "kilo": databases.kilo, "zcode": databases.zcode, "continue-db": databases.continue_db,
-    "openclaw": sessions.openclaw, "droid": sessions.droid, "copilot": sessions.copilot, "pi": sessions.pi, "cyberine": sessions.cyberine, "codebuff": sessions.codebuff,
+    "openclaw": sessions.openclaw, "droid": sessions.droid, "copilot": copilot.copilot, "pi": sessions.pi, "cyberine": sessions.cyberine, "codebuff": sessions.codebuff,
     "antigravity": antigravity.antigravity, "opencode": stores.opencode, "muse": stores.muse,
 }
 

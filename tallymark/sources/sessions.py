@@ -97,32 +97,6 @@ def droid(spark: SparkSession, root: str, suffix: str = ".settings.json") -> Dat
     return conform(dedup.keep_best(df, ["session_id"], [F.col("ts_ms"), F.col("source_file")]), "droid")
 
 
-def copilot(spark: SparkSession, root: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
-    """Shutdown snapshots of session-state folders as increases between them, by session and model, within the bounds.
-
-    A shutdown counts once, the latest time winning; the last snapshot before `since_ms` is the baseline.
-    """
-    one = "requests: struct<count: string>, usage: struct<inputTokens: string, outputTokens: string, cacheReadTokens: string, cacheWriteTokens: string, reasoningTokens: string>"
-    rows = parsed(lines(spark, root, "events.jsonl", ["session.shutdown"]), f"type string, id string, timestamp string, data struct<modelMetrics: map<string, struct<{one}>>>")
-    rows = rows.where("j.type = 'session.shutdown'").select("source_file", "seq", F.trim(part(F.col("source_file"), 2)).alias("session_id"), strict_millis(F.col("j.timestamp")).alias("ts_ms"), F.col("j.id").alias("id"), F.explode("j.data.modelMetrics").alias("raw", "x"))
-    u = F.col("x.usage")
-    read, written = lenient_uint(u["cacheReadTokens"]), lenient_uint(u["cacheWriteTokens"])
-    snap = rows.where("ts_ms is not null and x.usage is not null").select(
-        "source_file", "seq", "session_id", "ts_ms", F.regexp_replace(F.trim("raw"), "(-1m-internal|-1m)$", "").alias("model"), without_cached(lenient_uint(u["inputTokens"]), read + written).alias("input_tokens"),
-        lenient_uint(u["outputTokens"]).alias("output_tokens"), written.alias("cache_creation_tokens"), read.alias("cache_read_tokens"), lenient_uint(u["reasoningTokens"]).alias("reasoning_tokens"),
-        lenient_uint(F.col("x.requests.count")).alias("message_count"), "id",
-    ).where("model <> ''")
-    counts = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "reasoning_tokens", "message_count"]
-    key = F.coalesce("id", F.concat_ws(":", "ts_ms", *counts))
-    snap = dedup.keep_best(snap.withColumn("__key", key), ["session_id", "model", "__key"], [F.col("ts_ms"), F.col("source_file"), F.col("seq")])
-    out = carry.intervals(snap, counts, ["session_id", "model"], since_ms=since_ms, until_ms=until_ms)
-    any_ = F.lit(0)
-    for c in counts:
-        any_ = any_ + F.col(c)
-    out = out.where(any_ > 0).withColumns({"project": F.lit("GitHub Copilot CLI"), "message_count": F.nullif("message_count", F.lit(0).cast("long")), "extra_tokens": F.lit(0).cast("long")})
-    return conform(out, "copilot")
-
-
 def pi(spark: SparkSession, root: str) -> DataFrame:
     """Session trees: only the active branch counts, without what a fork replays from its parent up to the fork's time; equal rows once."""
     ddl = "type string, id string, parentId string, timestamp string, parentSession string, message struct<role: string, model: string, usage: struct<input: string, output: string, cacheRead: string, cacheWrite: string, totalTokens: string, cost: struct<total: double>>>"
