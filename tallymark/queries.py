@@ -14,6 +14,7 @@ from .functions.tokens import explained, without_cached
 from .operators import aggregate, blocks, carry, dedup, joins, price_book, pricing, resolve
 from .plans.bench_view import USAGE_SQL, usage_view
 from .schema import COUNTERS, total_tokens
+from .sources import copilot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -287,6 +288,31 @@ def cascade_precedence(spark, sf_dir):
     return joins.cascade([u.where(F.col("agent") == a) for a in ("purchase", "signup", "view")], ["message_id", "trace"]).select("seq")
 
 
+@query("foremost_records", """, v AS (SELECT seq, CASE agent WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS level, project, message_id, session_id || model AS trace FROM u),
+b AS (SELECT *, min(level) OVER (PARTITION BY project, message_id) AS by_message, min(level) OVER (PARTITION BY project, trace) AS by_trace FROM v)
+SELECT seq, level FROM b WHERE (message_id IS NULL OR level <= by_message) AND (trace IS NULL OR level <= by_trace)""")
+def foremost_records(spark, sf_dir):
+    level = F.when(F.col("agent") == "purchase", 0).when(F.col("agent") == "signup", 1).when(F.col("agent") == "view", 2).otherwise(3)
+    u = usage_view(spark, sf_dir).select("seq", level.alias("level"), "project", "message_id", F.concat("session_id", "model").alias("trace"))
+    return joins.foremost(u, "level", ["message_id", "trace"], ["project"]).select("seq", "level")
+
+
+@query("trace_contexts", """, v AS (SELECT *, nullif(k % 4, 0) AS r FROM u)
+SELECT project AS source_file, session_id AS trace, arg_min(model, seq) FILTER (WHERE seq % 3 = 0) AS c_model, arg_min(message_id, seq - r * 1000000000000) FILTER (WHERE r IS NOT NULL) AS c_session
+FROM v GROUP BY 1, 2""")
+def trace_contexts(spark, sf_dir):
+    rank = F.nullif(F.col("k") % 4, F.lit(0).cast("long"))
+    u = usage_view(spark, sf_dir).select(
+        F.col("project").alias("source_file"), "seq", F.col("session_id").alias("trace"), F.when(F.col("seq") % 3 == 0, F.col("model")).alias("model"), F.when(rank.isNotNull(), F.col("message_id")).alias("session"), rank.alias("rank")
+    )
+    return copilot.contexts(u)
+
+
+@query("range_in_zone", """SELECT seq, ts_ms FROM u WHERE strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-09'""")
+def range_in_zone(spark, sf_dir):
+    return reports.in_range(usage_view(spark, sf_dir), reports.Options(since="20240105", until="2024-01-09", zone="America/New_York")).select("seq", "ts_ms")
+
+
 @query("fork_prefix_removal", """, p AS (SELECT project, seq, k % 3 AS sig, row_number() OVER (PARTITION BY project ORDER BY seq) AS n FROM u WHERE agent = 'click'),
 q AS (SELECT project, seq, k % 3 AS sig, row_number() OVER (PARTITION BY project ORDER BY seq) AS n FROM u WHERE agent = 'view'),
 d AS (SELECT q.project, min(q.n) AS first FROM q LEFT JOIN p ON p.project = q.project AND p.n = q.n WHERE p.sig IS DISTINCT FROM q.sig GROUP BY 1)
