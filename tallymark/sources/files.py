@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import percent_decoded
+from ..scratch import written
 from ..shipping import python_ready
 from . import ranges
 
@@ -46,18 +47,50 @@ def lines(
     stands for the listing where only some files are wanted; others aren't opened. Lines end at line feeds; bytes that aren't
     UTF-8 become replacement characters. Empty files have no lines.
     """
-    python_ready(spark)
     files = listing(spark, root, glob) if files is None else files
-    long = lambda n: F.lit(n).cast("long")
-    starts = F.explode(F.sequence(long(0), F.col("size") - 1, long(step)))
-    parts = files.where("size > 0").select("source_file", "mtime_ms", "size", starts.alias("start"))
-    counted = _spread(parts.where(F.col("size") > step)).mapInArrow(ranges.counter(step), ranges.COUNTED)
+    return lines_from(files.withColumns({"begin": _long(0), "before": _long(0)}), markers, step)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _parts(files: DataFrame, step: int) -> DataFrame:
+    starts = F.explode(F.sequence("begin", F.col("size") - 1, _long(step)))
+    return files.where("size > begin").select("source_file", "mtime_ms", "size", "begin", "before", starts.alias("start"))
+
+
+def lines_from(files: DataFrame, markers: list[str] | None = None, step: int = STEP) -> DataFrame:
+    """`lines` of files (source_file, mtime_ms, size, begin, before) from the byte `begin` on, where a line begins; `before` lines precede it."""
+    python_ready(files.sparkSession)
+    parts = _parts(files, step)
+    counted = _spread(parts.where(F.col("size") - F.col("begin") > step)).mapInArrow(ranges.counter(step), ranges.COUNTED)
     earlier = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.select("source_file", "start", F.coalesce(F.sum("n").over(earlier), long(0)).alias("first"))
-    numbered = parts.join(first, ["source_file", "start"], "left").withColumn("first", F.coalesce("first", long(0)))
+    first = counted.select("source_file", "start", F.sum("n").over(earlier).alias("first"))
+    numbered = parts.join(first, ["source_file", "start"], "left").withColumn("first", F.col("before") + F.coalesce("first", _long(0)))
     return _spread(numbered).mapInArrow(ranges.reader(step, markers or []), ranges.LINES)
 
 
+def appended(files: DataFrame, known: DataFrame | None = None, markers: list[str] | None = None, step: int = STEP) -> tuple[DataFrame, DataFrame]:
+    """The lines that the files of a listing gained since the state `known`, and the state after them, both as tables to be written.
+
+    The state holds (source_file, done, n): the bytes up to the end of the last whole line, and the lines in them. A line
+    without a line feed waits for it. A file that is shorter than its state was replaced and is read anew; one that isn't listed
+    keeps its state. How far files reach is written down first, so lines and state agree however much files grow meanwhile.
+    """
+    spark = files.sparkSession
+    python_ready(spark)
+    known = spark.createDataFrame([], "source_file string, done long, n long") if known is None else known
+    same = F.col("done") <= F.col("size")
+    at = lambda c: F.coalesce(F.when(same, F.col(c)), _long(0))
+    grown = files.join(known, "source_file", "left").select("source_file", "mtime_ms", "size", at("done").alias("start"), at("n").alias("before")).where("size > start")
+    reach, _ = written(_spread(grown).mapInArrow(ranges.whole_lines, ranges.REACH), "log-reach")
+    n = _spread(_parts(reach, step)).mapInArrow(ranges.counter(step), ranges.COUNTED).groupBy("source_file").agg(F.sum("n").alias("more"))
+    moved = reach.join(n, "source_file", "left").select("source_file", F.col("size").alias("done"), (F.col("before") + F.coalesce("more", _long(0))).alias("n"))
+    state = known.select("source_file", "done", "n").join(moved, "source_file", "left_anti").unionByName(moved)
+    return lines_from(reach, markers, step), state
+
+
 def first_lines(files: DataFrame) -> DataFrame:
     """(source_file, seq, value, mtime_ms): the first line of each file of a listing, of which nothing more is read."""
     python_ready(files.sparkSession)

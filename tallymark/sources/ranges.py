@@ -10,6 +10,7 @@ import pyarrow.fs
 
 COUNTED = "source_file string, start long, n long"
 LINES = "source_file string, seq long, value string, mtime_ms long"
+REACH = "source_file string, mtime_ms long, size long, begin long, before long"
 #: Bytes read at a time where a length isn't known beforehand, and bytes of lines in a batch.
 CHUNK = 1 << 20
 BATCH = 4 << 20
@@ -122,3 +123,27 @@ def heads(batches: Batches) -> Batches:
             with opened(r["source_file"]) as f:
                 line = _rest(f, r["size"])
             yield _batch(r["source_file"], r["mtime_ms"], [(0, line.decode("utf-8", "replace"))])
+
+
+def last_end(f: BinaryIO, begin: int, stop: int) -> int:
+    """The end of the last whole line in begin to stop - 1, behind its line feed; begin if there is none."""
+    while stop > begin:
+        at = max(begin, stop - CHUNK)
+        f.seek(at)
+        found = f.read(stop - at).rfind(b"\n")
+        if found >= 0:
+            return at + found + 1
+        stop = at
+    return begin
+
+
+def whole_lines(batches: Batches) -> Batches:
+    """Files with their size up to the end of the last whole line."""
+    kinds = pa.schema([("source_file", pa.string()), *[(k, pa.int64()) for k in ("mtime_ms", "size", "begin", "before")]])
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            with opened(r["source_file"]) as f:
+                end = last_end(f, r["start"], r["size"])
+            out.append({"source_file": r["source_file"], "mtime_ms": r["mtime_ms"], "size": end, "begin": r["start"], "before": r["before"]})
+        yield pa.RecordBatch.from_pylist(out, kinds)

@@ -75,6 +75,28 @@ def test_only_listed_files_are_opened(spark, logs, tmp_path):
         files.lines(spark, str(tmp_path), "*.log", files=listed).collect()
 
 
+def test_growing_files_are_read_once(spark, tmp_path):
+    """Several runs over growing files give the lines of one run over the last state, each once, with their numbers."""
+    rng = random.Random(3)
+    grow = lambda name, data: (tmp_path / name).open("ab").write(data)
+    state, seen = None, []
+    for run in range(3):
+        for name in ("a.log", "b.log", f"new{run}.log"):
+            grow(name, "".join("x" * rng.choice([0, 5, 40]) + f" {run}\n" * rng.choice([1, 2]) for _ in range(9)).encode() + b"open")
+        found, after = files.appended(files.listing(spark, str(tmp_path), "*.log"), state, step=32)
+        seen += [(r["source_file"], r["seq"], r["value"]) for r in found.collect()]
+        state = spark.createDataFrame(after.collect(), after.schema)
+    want = {(str(p), n, x) for p in tmp_path.glob("*.log") for n, x in plain(p)[:-1]}  # the last line is still open
+    assert len(seen) == len(want) and set(seen) == want
+    assert {(r["source_file"], r["n"]) for r in state.collect()} == {(str(p), len(plain(p)) - 1) for p in tmp_path.glob("*.log")}
+    found, after = files.appended(files.listing(spark, str(tmp_path), "*.log"), state)
+    assert found.count() == 0 and sorted(after.collect()) == sorted(state.collect())
+    (tmp_path / "a.log").write_text("anew\n")
+    (tmp_path / "b.log").unlink()
+    found, after = files.appended(files.listing(spark, str(tmp_path), "*.log"), state)
+    assert [(r["seq"], r["value"]) for r in found.collect()] == [(0, "anew")] and after.count() == 5
+
+
 def test_threshold():
     begins = 1_767_225_600_000  # 2026-01-01 in UTC
     assert pruning.threshold("20260101", begins) == pruning.threshold("2026-01-01", begins) == begins - 38 * 3_600_000
