@@ -2,15 +2,14 @@
 
 A block ends when a request comes more than `length` after its start, or more than `length` after the request
 before. Where blocks begin depends only on which units of time hold requests, so requests are first summed by
-account and unit (a map-side combined aggregation); the sequential part then runs over units, whose number is
-bounded by the time covered and not by the requests.
+account, unit and model (a map-side combined aggregation); the sequential part is then a fold over an account's
+units, whose number is bounded by the time covered and not by the requests.
 """
 
 from __future__ import annotations
 
 from math import gcd
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,22 +20,44 @@ LENGTH_MS = 5 * HOUR_MS
 BLOCK_COUNTERS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"]
 
 
-def _units(usage: DataFrame, keys: list[str], length: int) -> tuple[DataFrame, int]:
-    unit = gcd(length, HOUR_MS)
-    # A request at the very start of a unit may end the block before, one after it may not: they are told apart.
-    place = 2 * F.floor(F.col("ts_ms") / unit).cast("long") + (F.pmod("ts_ms", F.lit(unit)) > 0).cast("long")
-    sums = [F.sum(c).alias(c) for c in BLOCK_COUNTERS] + [F.sum(F.col("cost_pico").cast("decimal(38,0)")).alias("cost_pico")]
-    firsts = F.struct(F.col("first_ms"), F.col("first_seq"), F.col("model"))
-    fine = usage.withColumn("__u", place).groupBy(*keys, "__u", "model").agg(
-        *sums, F.count("*").alias("n_entries"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
-        F.min(F.struct("ts_ms", "seq"))["seq"].alias("first_seq"), F.min_by("reset_ms", F.when(F.col("reset_ms").isNotNull(), F.struct("ts_ms", "seq"))).alias("reset_ms"),
-    )
-    out = fine.groupBy(*keys, "__u").agg(
-        *[F.sum(c).alias(c) for c in BLOCK_COUNTERS], F.sum("cost_pico").alias("cost_pico"), F.sum("n_entries").alias("n_entries"),
-        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.collect_list(firsts).alias("models"),
-        F.min_by("reset_ms", F.when(F.col("reset_ms").isNotNull(), F.col("first_ms"))).alias("reset_ms"),
-    )
-    return out, unit
+def unit_of(length: int) -> int:
+    """The unit of time within which no block can begin but at its start: blocks begin on the hour and last `length`."""
+    return gcd(length, HOUR_MS)
+
+
+def place_in_units(ts: Column, unit: int) -> Column:
+    """Number of the unit a time falls in, doubled: a request at the very start of a unit may end the block before, one after it may not."""
+    return 2 * F.floor(ts / unit).cast("long") + (F.pmod(ts, F.lit(unit)) > 0).cast("long")
+
+
+def unit_sums() -> list[Column]:
+    """Aggregates of the requests of one account, unit and model."""
+    by_time = F.struct("ts_ms", "seq")
+    return [
+        *[F.sum(c).alias(c) for c in BLOCK_COUNTERS], F.sum(F.col("cost_pico").cast("decimal(38,0)")).alias("cost_pico"), F.count("*").alias("n_entries"),
+        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.min(by_time)["seq"].alias("first_seq"),
+        F.min_by("reset_ms", F.when(F.col("reset_ms").isNotNull(), by_time)).alias("reset_ms"),
+    ]
+
+
+def _cut(units: Column, length: int) -> Column:
+    """Stretches (start_ms, rows) of an account's units, which are in order: a new one where a block begins."""
+
+    def step(a: Column, u: Column) -> Column:
+        new = a["start"].isNull() | (u["first_ms"] - a["start"] > length) | (u["first_ms"] - a["last"] > length)
+        start = F.when(new, u["first_ms"] - F.pmod(u["first_ms"], F.lit(HOUR_MS))).otherwise(a["start"])
+        mark = F.struct(a["n"].alias("n"), start.alias("start"))
+        marks = F.when(a["start"].isNull() | (start != a["start"]), F.array_append(a["marks"], mark)).otherwise(a["marks"])
+        return F.struct(start.alias("start"), F.greatest(a["last"], u["last_ms"]).alias("last"), (a["n"] + 1).alias("n"), marks.alias("marks"))
+
+    none = F.lit(None).cast("long")
+    zero = F.struct(none.alias("start"), none.alias("last"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,start:bigint>>").alias("marks"))
+
+    def parts(a: Column) -> Column:
+        after = F.concat(F.slice(F.transform(a["marks"], lambda m: m["n"]), F.lit(2), F.size(a["marks"])), F.array(F.size(units)))
+        return F.zip_with(a["marks"], after, lambda m, end: F.struct(m["start"].alias("start_ms"), F.slice(units, m["n"] + 1, end - m["n"]).alias("rows")))
+
+    return F.aggregate(units, zero, step, parts)
 
 
 def blocks(usage: DataFrame, keys: list[str], length_ms: int = LENGTH_MS, now_ms: int | None = None, gaps: bool = True) -> DataFrame:
@@ -45,27 +66,17 @@ def blocks(usage: DataFrame, keys: list[str], length_ms: int = LENGTH_MS, now_ms
     models: in order of first use. A gap row stands between blocks whose requests are more than `length_ms`
     apart, from `length_ms` after the last request to the next. A block is active at now_ms if that is before
     its end and within `length_ms` of its last request. length_ms is a whole number of minutes or more.
+    Requests without a time are in no block.
     """
-    units, _ = _units(usage, keys, length_ms)
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = last = None
-        starts = []
-        pdf = pdf.sort_values("__u")
-        for first, to in zip(pdf["first_ms"], pdf["last_ms"], strict=True):
-            if start is None or first - start > length_ms or first - last > length_ms:
-                start = first - first % HOUR_MS
-            starts.append(start)
-            last = to
-        return pdf[[*keys, "__u"]].assign(start_ms=pd.array(starts, "int64"))
-
-    kinds = ", ".join(f"`{k}` {units.schema[k].dataType.simpleString()}" for k in keys)
-    slim = units.select(*keys, "__u", "first_ms", "last_ms")
-    placed = slim.groupBy(*keys).applyInPandas(place, f"{kinds}, __u bigint, start_ms bigint")
-    joined = units.join(placed, [*keys, "__u"]) if keys else units.join(placed, ["__u"])
-    out = joined.groupBy(*keys, "start_ms").agg(
-        *[F.sum(c).alias(c) for c in BLOCK_COUNTERS], F.sum("cost_pico").alias("cost_pico"), F.sum("n_entries").alias("n_entries"),
-        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.array_sort(F.flatten(F.collect_list("models"))).alias("m"),
+    timed = usage.where("ts_ms is not null").withColumn("__u", place_in_units(F.col("ts_ms"), unit_of(length_ms)))
+    fine = timed.groupBy(*keys, "__u", "model").agg(*unit_sums())
+    row = F.struct("__u", "first_ms", "first_seq", "model", "last_ms", "n_entries", *BLOCK_COUNTERS, "cost_pico", "reset_ms")
+    # An account's array has a row for each unit and model, however many requests there are.
+    whole = fine.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("units"))
+    cut = whole.select(*keys, F.explode(_cut(F.col("units"), length_ms)).alias("b")).select(*keys, "b.start_ms", F.explode("b.rows").alias("r"))
+    out = cut.select(*keys, "start_ms", "r.*").groupBy(*keys, "start_ms").agg(
+        *[F.sum(c).alias(c) for c in BLOCK_COUNTERS], F.sum("cost_pico").cast("decimal(38,0)").alias("cost_pico"), F.sum("n_entries").alias("n_entries"),
+        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.array_sort(F.collect_list(F.struct("first_ms", "first_seq", "model"))).alias("m"),
         F.min_by("reset_ms", F.when(F.col("reset_ms").isNotNull(), F.col("first_ms"))).alias("reset_ms"),
     )
     models = F.array_distinct(F.filter(F.transform("m", lambda x: x["model"]), lambda x: x.isNotNull()))
