@@ -35,22 +35,37 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "mph kmh percent % dollar dollars cent cents euro euros usd eur gbp"
 ).split()
+#: English words for numbers ("one" is more often a pronoun); "twenty-one" and the like are made from them.
+NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_BY_WORD = rf"(?:{'|'.join(TENS)})(?:-(?:one|{'|'.join(NUMBER_WORDS[1:9])}))?|{'|'.join(NUMBER_WORDS)}"
+_NUMBER = rf"[0-9]|^[^\p{{L}}\p{{N}}%]*(?i:{_BY_WORD})[^\p{{L}}\p{{N}}%]*$"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+#: Where a sentence or a line ends, and what tells it from a heading: a word in lower case other than these.
+_ENDS = r"\n|[ \t\r](?<=[.!?:'\")\]][ \t\r])"
+_PROSE = r"(?:^|[\x20\x09-\x0D('\"])(?!(?:a|an|and|at|by|for|from|in|is|of|on|or|the|to|with)\b)\p{Ll}"
+_FOUR_WORDS = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]"
 _EDGE = r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$"
 
 
+def _read(text: Column) -> Column:
+    """Words of a text. Capitals tell nothing in a heading, or where all is in capitals: such a sentence or line of four words or more loses case."""
+    parts = F.transform(F.split(text, _ENDS), lambda x: F.when(~x.rlike(_PROSE) & x.rlike(_FOUR_WORDS), F.lower(x)).otherwise(x))
+    return words(F.array_join(parts, " "))
+
+
 def _template(ws: Column) -> Column:
-    """Template word of each word. A name is a word with a capital that doesn't begin a sentence."""
+    """Template word of each word. A name is a word with a capital that doesn't begin a sentence; a number has a digit or is an English word for one."""
+
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def one(w: Column, i: Column) -> Column:
         core = F.regexp_replace(w, _EDGE, "")
         low = F.lower(core)
         starts = (i == 0) | F.get(ws, i - 1).rlike(r"[.!?:]['\")\]]*$")
-        previous = F.get(ws, i - 1).rlike(r"[0-9]")
         return (
-            F.when(w.rlike(r"[0-9]"), F.lit(NUMBER))
-            .when((i > 0) & previous & F.array_contains(units, low), F.lit(UNIT))
+            F.when(w.rlike(_NUMBER), F.lit(NUMBER))
+            .when((i > 0) & F.array_contains(units, low) & F.get(ws, i - 1).rlike(_NUMBER), F.lit(UNIT))
             .when((low != core) & ~starts, F.lit(NAME))
             .otherwise(low)
         )
@@ -87,7 +102,7 @@ def _begins(x: Column, before: Column, number: Column, name: Column, unit: Colum
 
 def _hashed(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
     """keys with `h`: hashes of the template words; with `joined` a run of placeholders is one."""
-    ws = df.select(*keys, words(F.col(text)).alias("ws"))
+    ws = df.select(*keys, _read(F.col(text)).alias("ws"))
     h = ws.select(*keys, F.transform(_template(F.col("ws")), lambda x: F.xxhash64(x)).alias("h"))
     if not joined:
         return h
@@ -98,7 +113,7 @@ def _hashed(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFram
 def _tokens(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
     """keys with `tok`: the template words (t), and of a placeholder the value (v) and the units (u) of its run."""
     core = lambda w: F.lower(F.regexp_replace(w, _EDGE, ""))
-    df = df.select(*keys, words(F.col(text)).alias("w"))
+    df = df.select(*keys, _read(F.col(text)).alias("w"))
     df = df.select(*keys, "w", _template(F.col("w")).alias("t"))
     at = F.transform("t", lambda x, i: i)
     if joined:
@@ -132,6 +147,8 @@ def find_leaks(
     leaves fewer than LITERALS words besides the placeholders of such an item, its runs aren't joined and its values
     must be the same. Items with fewer than LEAST_LITERALS words besides the placeholders and fewer than LITERALS in
     all are in no text.
+    A sentence or line of four words or more, none of them in lower case but for small words like "of", is read without
+    case, so that headings and texts in capitals hold what they say and not a row of names.
     Null and empty texts and items hold and are nothing. Rows are told apart by (doc_id, hash of the text); equal
     rows count once; a null doc_id is an id. Repeated item rows count once. Other columns aren't read. Empty tables
     give an empty table. Items are bounded by a count before they are broadcast; beyond it windows meet by shuffle.

@@ -494,3 +494,70 @@ def test_jaccard_join_repeated_ids_with_other_texts(spark, seed):
         rows.append((rng.choice([None, *range(40)]) if rng.random() < 0.3 else rng.randrange(40, 120), rng.choice([None, "", " ".join(words), " ".join(words), " ".join(words)])))
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_rows(rows)
+
+
+def test_decontaminate_capitals_and_number_words(spark):
+    heading = "Name the largest planet of the system"
+    texts = ["So: NAME THE LARGEST PLANET OF THE SYSTEM.", "A quiz\nName The Largest Planet Of The System\nand more", "name the largest moon of the system"]
+    assert sorted(leaks(spark, texts, heading)) == [0, 1]
+    item = "a farmer sells twelve red apples for 3 dollars each morning and keeps twenty-five pears in the old barn"
+    texts = [item.replace("twelve", "40").replace("twenty-five", "ninety nine"), item.upper(), item.replace("3 dollars", "seven euros"), "a farmer sells red apples each morning"]
+    got = leaks(spark, [f"so it is said by the river. {t}. that was it" for t in texts], item)
+    assert sorted(got) == [0, 1, 2] and (got[0]["n_changed"], got[1]["n_changed"]) == (2, 0) and got[2]["n_changed"] == 2
+
+
+def brute_template(text):
+    """Template words with the value of each run of placeholders, word by word."""
+    tens = decontaminate.TENS
+    numbers = {*decontaminate.NUMBER_WORDS, *tens, *[f"{t}-{o}" for t in tens for o in ["one", *decontaminate.NUMBER_WORDS[1:9]]]}
+    units = set(decontaminate.UNITS)
+    small = set("a an and at by for from in is of on or the to with".split())
+    ws = []
+    for part in re.split(r"\n|(?<=[.!?:'\")\]])[ \t\r]", text):
+        here = re.findall(r"[^ \t-\r]+", part)
+        plain = len(here) >= 4 and not any(re.match(r"[('\"]*[a-z]", w) and re.sub(r"^[('\"]*|\W.*$", "", w) not in small for w in here)
+        ws += [w.lower() if plain else w for w in here]
+    cores = [re.sub(r"^[^\w%]+|[^\w%]+$", "", w) for w in ws]
+    out = []
+    for i, (w, core) in enumerate(zip(ws, cores, strict=True)):
+        number = lambda k: bool(re.search("[0-9]", ws[k])) or cores[k].lower() in numbers
+        starts = i == 0 or re.search(r"[.!?:]['\")\]]*$", ws[i - 1])
+        kind = "<number>" if number(i) else "<unit>" if i and core.lower() in units and number(i - 1) else "<name>" if core.lower() != core and not starts else None
+        joins = out and (kind == "<unit>" or (kind == "<number>" and out[-1][2] in ("<number>", "<unit>")) or (kind == "<name>" and out[-1][2] == "<name>"))
+        if joins:
+            out[-1][1].append((kind, core.lower()))
+            out[-1][2] = kind
+        else:
+            out.append([kind or core.lower(), [(kind, core.lower())], kind])
+    return [(t, tuple(v for k, v in run if k == t)) for t, run, _ in out]
+
+
+def brute_leak(text, item, width=decontaminate.WINDOW):
+    """Whether half of the item's windows stand within a few words of one alignment whose slots agree; for values of one length."""
+    d, x = brute_template(text), brute_template(item)
+    n = len(x) - width + 1
+    hits = [(j - i, i) for i in range(n) for j in range(len(d) - width + 1) if all(x[i + k][0] == d[j + k][0] for k in range(width))]
+    for shift in {s for s, _ in hits}:
+        met = {i for s, i in hits if abs(s - shift) <= decontaminate.SLACK}
+        pairs = {(x[k][1], d[k + shift][1]) for k in range(len(x)) if 0 <= k + shift < len(d) and x[k][0] == d[k + shift][0] and x[k][0][0] == "<"}
+        if 2 * len(met) >= n and (not pairs or min(len({a for a, _ in pairs}), len({b for _, b in pairs})) >= decontaminate.AGREEMENT * len(pairs)):
+            return True
+    return False
+
+
+def test_decontaminate_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    plain = "river barn apple wagon stone cloud lamp horse bread wheel".split()
+    value = lambda: rng.choice([str(rng.randrange(9)), "seven", "Maria", "Olga"])
+    items = [" ".join(value() if k % 5 == 4 else rng.choice(plain) for k in range(rng.randrange(12, 24))) for _ in range(12)]
+    texts = []
+    for item in items * 6:
+        ws = [value() if re.search("[0-9A-Z]|seven", w) and rng.random() < 0.5 else w for w in item.split()]
+        cut = rng.choice([0, 0, len(ws) // 3, len(ws) // 2])
+        texts.append(" ".join([rng.choice(plain) for _ in range(rng.randrange(5))] + ws[cut:] + [rng.choice(plain) for _ in range(5)]))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    found = decontaminate.find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if brute_leak(t, item)}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and 20 < len(want) < len(texts) * 2
