@@ -1,11 +1,11 @@
-"""Operator 6, byte-level BPE: encode texts by a rank file and decode ids, with folds over distinct words in Spark.
+"""Operator 6, byte-level BPE: encode texts by a rank file and decode ids, with folds over distinct words.
 
 A text is split by the pattern into words; a word's bytes are merged pair by pair, lowest rank first. Two facts
 make that a fold over whole numbers: an id is its rank, and which two ids merge into which id follows from the
-rank file alone, so the rank map is a literal table from pairs to ids. Frequent words are folded once each, and
-their ids, a table of bounded size, are broadcast; a text's other distinct words are folded where they stand (they
-stand in about one text of a task each). So nothing is shuffled but the words' counts, at any size of the input.
-Decoding concatenates the ids' pieces.
+rank file alone, so the rank map is a table from pairs to ids. Words are folded many at a time, as arrays. Frequent
+words are folded once each, and their ids, a table of bounded size, are broadcast; other distinct words are folded
+once an Arrow batch where they stand (they stand in about one text of a task each). So nothing is shuffled but the
+words' counts, at any size of the input. Decoding concatenates the ids' pieces.
 """
 
 from __future__ import annotations
@@ -24,17 +24,17 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at_most, drop_path, materialise, replace_columns, workers_ready
+from .common import at_most, drop_path, materialise, pieces, replace_columns, workers_ready
 
 #: Bound of the broadcast table of folded words.
 FREQUENT = 400_000
-#: Bytes of a word that is folded as an array; a longer one is merged with a heap, as a fold's work grows with the square.
+#: Bytes of a word that is folded in an array; a longer one is merged with a heap, as a fold's work grows with the square.
 LONGEST = 64
-#: Characters of a plan's text that the driver keeps for each query it ran: the literal table alone has millions.
+#: Characters of a plan's text that the driver keeps for each query it ran.
 PLAN_TEXT = 100_000
-#: Buckets of the literal pair table; one or two pairs each.
-BUCKETS = 1 << 17
-#: In a fold's state: no merge.
+#: Bytes of the texts that are encoded together.
+PIECE = 4 << 20
+#: No merge.
 NEVER = (1 << 31) - 1
 
 
@@ -84,72 +84,111 @@ def _load(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _bucket(k):
-    """Bucket of a pair's number k; the same for a whole number and for a column."""
-    if isinstance(k, int):
-        return (k ^ (k >> 13)) * 40503 % BUCKETS
-    return (k.bitwiseXOR(F.shiftright(k, 13)) * 40503) % BUCKETS
-
-
-def _table(ranks: Ranks) -> list[list[int]]:
-    """Pairs by bucket: a pair's number times 65536, plus its id."""
-    table: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for a, b, i in ranks.pairs():
-        k = (a << 16) | b
-        table[_bucket(k)].append((k << 16) | i)
-    return table
-
-
 def _let(value: Column, use) -> Column:
     """use(value) with the value evaluated once: an expression is evaluated wherever it is named, a lambda's variable isn't."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def fold(word: Column, table: list[list[int]]) -> Column:
-    """Ids (array<int>) of a word given as the ids of its bytes (array<bigint>).
-
-    The state is one whole number a token: its id below, above it the id that it and the next token merge into.
-    A step applies the lowest merge, the leftmost of equals, and looks up only the two pairs that it changes.
+class Pairs:
+    """Which id two ids merge into, looked up for many pairs at once: an open hash table, filled to a quarter at most."""
+
+    def __init__(self, ranks: Ranks):
+        found = np.array(ranks.pairs(), np.int64).reshape(-1, 3)
+        bits = max(8, int(len(found) * 4).bit_length())
+        self.shift, self.mask = 64 - bits, (1 << bits) - 1
+        self.keys, self.ids = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int32)
+        keys, ids = found[:, 0] << 16 | found[:, 1], found[:, 2]
+        at = self._slots(keys)
+        while len(keys):
+            _, first = np.unique(at, return_index=True)  # one key a slot
+            first = first[self.keys[at[first]] < 0]
+            self.keys[at[first]], self.ids[at[first]] = keys[first], ids[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ids, at = keys[rest], ids[rest], (at[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Id of each pair, or NEVER."""
+        keys = a.astype(np.int64) << 16 | b
+        at = self._slots(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ids[at], NEVER)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ids[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+def fold(words: list[str], single: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after another, and the number of ids of each.
+
+    A step applies in each word its lowest merge, the leftmost of equals, and looks up only the two pairs that it
+    changes; words without a merge leave.
     """
-    return _let(_load(table, "array<array<bigint>>"), lambda t: _fold(word, t))  # the literal stands in the plan once
-
-
-def _fold(word: Column, table: Column) -> Column:
-    def merged(a: Column, b: Column) -> Column:
-        k = F.shiftleft(a, 16).bitwiseOR(b)
-        found = F.filter(F.get(table, _bucket(k).cast("int")), lambda e: F.shiftright(e, 16) == k)
-        return F.coalesce(F.get(found, 0).bitwiseAND(65535), F.lit(NEVER).cast("long"))
-
-    def token(a: Column, b: Column) -> Column:
-        return _let(a, lambda x: F.shiftleft(merged(x, b), 32).bitwiseOR(x))
-
-    def step(s: Column, _: Column) -> Column:
-        at = lambda i: F.get(s, i).bitwiseAND(NEVER)
-        none = F.array().cast("array<bigint>")
-
-        def apply(m: Column, p: Column) -> Column:  # p counts from 1
-            before = F.when(p > 1, F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), F.array(token(at(p - 2), m)))).otherwise(none)
-            return F.concat(before, F.array(token(m, at(p + 1))), F.slice(s, p + 2, F.size(s)))
-
-        place = lambda m: F.array_position(F.transform(s, lambda x: F.shiftright(x, 32)), m).cast("int")
-        return _let(F.shiftright(F.array_min(s), 32), lambda m: F.when(m == NEVER, s).otherwise(_let(place(m), lambda p: apply(m, p))))
-
-    pairs = F.zip_with(word, F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.shiftleft(merged(a, b), 32).bitwiseOR(a))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), pairs, step)
-    return F.transform(folded, lambda x: x.bitwiseAND(NEVER).cast("int"))
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ids = single[np.frombuffer(b"".join(raw), np.uint8)]
+    lengths, places, done = np.zeros(len(raw), np.int64), [], []
+    names = np.flatnonzero(sizes)  # of the words still at work
+    sizes = sizes[names]
+    pair = np.full(len(ids), NEVER, np.int32)
+    if len(ids):
+        pair[:-1] = pairs.merged(ids[:-1], ids[1:])
+    while len(names):
+        ends = np.cumsum(sizes)
+        pair[ends - 1] = NEVER
+        low = np.minimum.reduceat(pair, ends - sizes)
+        over = low == NEVER
+        if over.any():
+            gone = np.repeat(over, sizes)
+            lengths[names[over]] = sizes[over]
+            places.append(names[over])
+            done.append(ids[gone])
+            ids, pair = ids[~gone], pair[~gone]
+            names, sizes, low = names[~over], sizes[~over], low[~over]
+            if not len(names):
+                break
+            ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(names)), sizes)
+        hits = np.flatnonzero(pair == low[of])
+        at = hits[np.flatnonzero(np.diff(of[hits], prepend=-1))]  # the first of each word
+        ids[at] = low
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        at -= np.arange(len(at))  # each word before has lost one
+        ids, pair, sizes = ids[keep], pair[keep], sizes - 1
+        ends = np.cumsum(sizes)
+        left, right = at[at > ends - sizes], at[at < ends - 1]
+        pair[at] = NEVER
+        pair[right] = pairs.merged(ids[right], ids[right + 1])
+        pair[left - 1] = pairs.merged(ids[left - 1], ids[left])
+    # Back from the order of leaving to that of the words.
+    left_in = np.concatenate(places) if places else np.empty(0, np.int64)
+    flat = np.concatenate(done) if done else np.empty(0, ids.dtype)
+    n = lengths[left_in]
+    starts = np.zeros(len(raw), np.int64)
+    starts[left_in] = np.cumsum(n) - n
+    return flat[_runs(starts, lengths)], lengths
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    stops = np.cumsum(lengths)
+    total = int(stops[-1]) if len(stops) else 0
+    return np.repeat(starts - (stops - lengths), lengths) + np.arange(total)
 
 
 def _is_long(word: str) -> bool:
     return len(word) * 4 > LONGEST and len(word.encode()) > LONGEST
 
 
-def _byte_ids(words: list[str], single: np.ndarray) -> pa.ListArray:
-    """Each word as the ids of its bytes."""
-    raw = [w.encode() for w in words]
-    ends = np.cumsum([0, *map(len, raw)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(single[np.frombuffer(b"".join(raw), np.uint8)], pa.int64()))
-
-
 def _word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     """(word, n) of the words of at most LONGEST bytes over all texts."""
 
@@ -186,12 +225,17 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
-def _as_bytes(words: DataFrame, single: np.ndarray) -> DataFrame:
+def _folds(words: DataFrame, shared) -> DataFrame:
+    """words with their `ids`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, pairs, _ = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _byte_ids(batch.column(0).to_pylist(), single)], ["word", "b"])
+            flat, lengths = fold(batch.column(0).to_pylist(), single, pairs)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["word", "ids"])
 
-    return words.mapInArrow(run, "word string, b array<bigint>")
+    return words.mapInArrow(run, "word string, ids array<int>")
 
 
 _INDEX: dict = {}
@@ -205,92 +249,43 @@ def _index_of(key, names: pa.Array) -> dict[str, int]:
     return _INDEX[key]
 
 
-def _folded(df: DataFrame, ranks: Ranks, pattern: str, text: str, ids: str, frequent: int) -> tuple[DataFrame, list[str]]:
-    """df's other columns with __ids, where -1 - k stands for the k-th rare word of the row, and __more, the ids of those."""
+def _encoder(df: DataFrame, ranks: Ranks, pattern: str, text: str, frequent: int):
+    """A function for tasks, from a list of texts to the ids of each; the frequent words of df are folded here."""
     spark: SparkSession = df.sparkSession
     workers_ready(spark)
     at_most(spark, "spark.sql.maxPlanStringLength", PLAN_TEXT)
-    single, table = np.array(ranks.single, np.int64), _table(ranks)
+    rules = spark.sparkContext.broadcast((np.array(ranks.single, np.int32), Pairs(ranks), ranks))  # the fixed vocabulary
     counts, counts_path = materialise(_word_counts(df.select(text), pattern), "words")
-    known = _as_bytes(_frequent(counts, frequent).select("word"), single).select("word", fold(F.col("b"), table).alias("ids"))
-    known, known_path = materialise(known, "word-ids")
+    known, known_path = materialise(_folds(_frequent(counts, frequent).select("word"), rules), "word-ids")
     rows = known.toArrow()
     lists = rows.column("ids").combine_chunks()
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy()[ends[0] :].astype(np.uint16) if len(lists) else np.empty(0, np.uint16)
-    shared = spark.sparkContext.broadcast((rows.column("word").combine_chunks(), ends - ends[0] if len(ends) else np.zeros(1, np.int64), flat, ranks))
+    ends = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+    flat = lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.uint16) if len(lists) else np.empty(0, np.uint16)
+    words = spark.sparkContext.broadcast((rows.column("word").combine_chunks(), np.diff(ends), flat))
     for path in (counts_path, known_path):
         drop_path(spark, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids_of(texts: list[str | None]) -> list[np.ndarray]:
         find = regex.compile(pattern).findall
-        names, bounds, all_ids, heap = shared.value
+        single, pairs, heap = rules.value
+        names, sizes, flat = words.value
         index = _index_of(id(names), names)
-        sizes = np.diff(bounds)
-        for batch in batches:
-            out_ids, ends_, rare, rare_ends = [], [0], [], [0]
-            for t in batch.column(batch.schema.get_field_index("__text")).to_pylist():
-                found = find(t or "")
-                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
-                n = sizes[np.maximum(at, 0)] if len(sizes) else np.ones(len(at), np.int64)
-                doc_rare: dict[str, int] = {}
-                holes, places, long_words = [], [], {}
-                for j in np.flatnonzero(at < 0).tolist():
-                    w = found[j]
-                    if _is_long(w):
-                        long_words[j] = heap.merged(w.encode())
-                        n[j] = len(long_words[j])
-                    else:
-                        holes.append(j)
-                        places.append(doc_rare.setdefault(w, len(doc_rare)))
-                        n[j] = 1
-                stops = np.cumsum(n)
-                total = int(stops[-1]) if len(stops) else 0
-                starts = stops - n
-                src = np.repeat(np.where(at >= 0, bounds[np.maximum(at, 0)], 0) - starts, n) + np.arange(total)
-                row = all_ids[np.minimum(src, max(len(all_ids) - 1, 0))].astype(np.int32) if len(all_ids) else np.zeros(total, np.int32)
-                row[starts[holes]] = -1 - np.array(places, np.int64)
-                for j, part in long_words.items():
-                    row[starts[j] : stops[j]] = part
-                out_ids.append(row)
-                ends_.append(ends_[-1] + total)
-                rare += doc_rare
-                rare_ends.append(rare_ends[-1] + len(doc_rare))
-            values = pa.array(np.concatenate(out_ids) if out_ids else np.empty(0, np.int32), pa.int32())
-            keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "__text"]
-            kept = [x for x in batch.schema.names if x != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), values), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), _byte_ids(rare, single))],
-                [*kept, "__ids", "__rare"],
-            )
-
-    rest = [c for c in df.columns if c.lower() != ids.lower()]
-    work = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
-    work = work.mapInArrow(run, f"{schema}{', ' if schema else ''}__ids array<int>, __rare array<array<bigint>>")
-    more = F.transform("__rare", lambda w: fold(w, table))
-    return work.select(*[F.col(f"c{i}") for i in range(len(rest))], "__ids", more.alias("__more")), rest
-
-
-def _assembled(ids: pa.Array, more: pa.Array) -> list[np.ndarray]:
-    """Ids of each row: a negative one, -1 - k, stands for all ids of the row's k-th rare word."""
-    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-    words_, word_ends = more.values, more.offsets.to_numpy()
-    rare, rare_ends = words_.values.to_numpy(zero_copy_only=False), words_.offsets.to_numpy()
-    starts, lengths = rare_ends[:-1], np.diff(rare_ends)
-    out = []
-    for i in range(len(ids)):
-        row = flat[ends[i] : ends[i + 1]]
-        k = word_ends[i]
-        if word_ends[i + 1] > k:
-            hole = row < 0
-            which = np.where(hole, k - 1 - row, 0)
-            n = np.where(hole, lengths[which], 1)
-            stops = np.cumsum(n)
-            inside = np.arange(int(stops[-1])) - np.repeat(stops - n, n)
-            row = np.where(np.repeat(hole, n), rare[np.minimum(np.repeat(np.where(hole, starts[which], 0), n) + inside, max(len(rare) - 1, 0))], np.repeat(row, n))
-        out.append(row.astype(np.int32, copy=False))
-    return out
+        numbers, new, long_words = [], {}, {}  # new words have the numbers after the known ones, long ones negative numbers
+        for t in texts:
+            found = find(t or "")
+            at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+            for j in np.flatnonzero(at < 0).tolist():
+                w = found[j]
+                at[j] = -1 - long_words.setdefault(w, len(long_words)) if _is_long(w) else len(names) + new.setdefault(w, len(new))
+            numbers.append(at)
+        more, more_sizes = fold(list(new), single, pairs)
+        merged = [np.array(heap.merged(w.encode()), np.uint16) for w in reversed(long_words)]  # -1 is the last
+        all_ids = np.concatenate([flat, more.astype(np.uint16), *merged])
+        all_sizes = np.concatenate([sizes, more_sizes, np.array([len(m) for m in merged], np.int64)])
+        starts = np.cumsum(all_sizes) - all_sizes
+        return [all_ids[_runs(starts[at], all_sizes[at])].astype(np.int32) for at in numbers]
+
+    return ids_of
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = FREQUENT) -> DataFrame:
@@ -300,15 +295,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     one by one: ties, repeated rows and empty tables need no rule. Words of more than LONGEST bytes, of any
     length, are merged with a heap; their ids follow the same rule. ranks_path is read on the driver.
     """
-    work, rest = _folded(df, Ranks(ranks_path), pattern, text, ids, frequent)
+    ids_of = _encoder(df, Ranks(ranks_path), pattern, text, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _assembled(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
+            rows = ids_of(batch.column(batch.num_columns - 1).to_pylist())
             flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
             ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names[:-2], "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, flat)], [*batch.schema.names[:-1], "ids"])
 
+    rest = [c for c in df.columns if c.lower() != ids.lower()]
+    work = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("__text"))
     schema = "".join(f"c{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest)) + "ids array<int>"
     return work.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids))
 
@@ -327,22 +324,24 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_i
     they are joined where the ids are, as they leave only as a digest.
     """
     ranks = Ranks(ranks_path)
-    work, _ = _folded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__t")), ranks, pattern, "__t", "ids", frequent)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks.pieces)  # the fixed vocabulary
+    work = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__t"))
+    ids_of = _encoder(work, ranks, pattern, "__t", frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks.pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = shared.value.__getitem__
         name_of = [str(i) for i in range(len(shared.value))].__getitem__
         for batch in batches:
             n, ids, decoded = [], [], []
-            for row in _assembled(batch.column(1), batch.column(2)):
-                row = row.tolist()
-                n.append(len(row))
-                ids.append(hashlib.sha256(" ".join(map(name_of, row)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(bytes_of, row))).hexdigest())
+            for lo, hi in pieces(batch.column(1), PIECE):
+                for row in ids_of(batch.column(1)[lo:hi].to_pylist()):
+                    row = row.tolist()
+                    n.append(len(row))
+                    ids.append(hashlib.sha256(" ".join(map(name_of, row)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(bytes_of, row))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return work.select("c0", "__ids", "__more").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return work.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
