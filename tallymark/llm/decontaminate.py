@@ -38,13 +38,13 @@ UNITS = (
 #: English words for numbers ("one" is more often a pronoun); "twenty-one" and the like are made from them.
 NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-_BY_WORD = rf"(?:{'|'.join(TENS)})(?:-(?:one|{'|'.join(NUMBER_WORDS[1:9])}))?|{'|'.join(NUMBER_WORDS)}"
-_NUMBER = rf"[0-9]|^[^\p{{L}}\p{{N}}%]*(?i:{_BY_WORD})[^\p{{L}}\p{{N}}%]*$"
+_BY_WORD = [*NUMBER_WORDS, *TENS, *[f"{t}-{n}" for t in TENS for n in ["one", *NUMBER_WORDS[1:9]]]]
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: Where a sentence or a line ends, and what tells it from a heading: a word in lower case other than these.
 _ENDS = r"\n|[ \t\r](?<=[.!?:'\")\]][ \t\r])"
 _PROSE = r"(?:^|[\x20\x09-\x0D('\"])(?!(?:a|an|and|at|by|for|from|in|is|of|on|or|the|to|with)\b)\p{Ll}"
 _FOUR_WORDS = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]"
+_SMALL = r"^\p{Ll}+\z"
 _EDGE = r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$"
 
 
@@ -54,23 +54,31 @@ def _read(text: Column) -> Column:
     return words(F.array_join(parts, " "))
 
 
-def _template(ws: Column) -> Column:
-    """Template word of each word. A name is a word with a capital that doesn't begin a sentence; a number has a digit or is an English word for one."""
+def _core(w: Column) -> Column:
+    """A word without the signs around it; most words are small letters alone and need no replacement."""
+    return F.when(w.rlike(_SMALL), w).otherwise(F.regexp_replace(w, _EDGE, ""))
 
-    units = F.array(*[F.lit(u) for u in UNITS])
 
-    def one(w: Column, i: Column) -> Column:
-        core = F.regexp_replace(w, _EDGE, "")
-        low = F.lower(core)
-        starts = (i == 0) | F.get(ws, i - 1).rlike(r"[.!?:]['\")\]]*$")
+def _templates(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys with `ws`, the words of a text, and `ts`, the template word of each.
+
+    A name is a word with a capital that doesn't begin a sentence; a number has a digit or is an English word for one.
+    """
+    parts = lambda c: F.struct(c.alias("c"), F.lower(c).alias("l"), (F.lower(c).isin(_BY_WORD) | c.rlike("[0-9]")).alias("n"))
+
+    def one(x: Column, i: Column) -> Column:
+        starts = (i == 0) | F.get(F.col("ws"), i - 1).rlike(r"[.!?:]['\")\]]*$")
         return (
-            F.when(w.rlike(_NUMBER), F.lit(NUMBER))
-            .when((i > 0) & F.array_contains(units, low) & F.get(ws, i - 1).rlike(_NUMBER), F.lit(UNIT))
-            .when((low != core) & ~starts, F.lit(NAME))
-            .otherwise(low)
+            F.when(x["n"], F.lit(NUMBER))
+            .when((i > 0) & F.get(F.col("xs"), i - 1)["n"] & x["l"].isin(UNITS), F.lit(UNIT))
+            .when((x["l"] != x["c"]) & ~starts, F.lit(NAME))
+            .otherwise(x["l"])
         )
 
-    return F.transform(ws, one)
+    # A column that a later step names twice is evaluated once and never again inside a lambda: so in steps, each word once.
+    df = df.select(*keys, _read(F.col(text)).alias("ws"))
+    df = df.select(*keys, "ws", F.transform(F.transform("ws", _core), parts).alias("xs"))
+    return df.select(*keys, "ws", F.transform("xs", one).alias("ts"))
 
 
 def _joined(a: str, b: str, shift: int) -> Column:
@@ -102,8 +110,7 @@ def _begins(x: Column, before: Column, number: Column, name: Column, unit: Colum
 
 def _hashed(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
     """keys with `h`: hashes of the template words; with `joined` a run of placeholders is one."""
-    ws = df.select(*keys, _read(F.col(text)).alias("ws"))
-    h = ws.select(*keys, F.transform(_template(F.col("ws")), lambda x: F.xxhash64(x)).alias("h"))
+    h = _templates(df, keys, text).select(*keys, F.transform("ts", lambda x: F.xxhash64(x)).alias("h"))
     if not joined:
         return h
     marks = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)]
@@ -112,14 +119,12 @@ def _hashed(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFram
 
 def _tokens(df: DataFrame, keys: list[str], text: str, joined: bool) -> DataFrame:
     """keys with `tok`: the template words (t), and of a placeholder the value (v) and the units (u) of its run."""
-    core = lambda w: F.lower(F.regexp_replace(w, _EDGE, ""))
-    df = df.select(*keys, _read(F.col(text)).alias("w"))
-    df = df.select(*keys, "w", _template(F.col("w")).alias("t"))
+    df = _templates(df, keys, text).select(*keys, F.col("ws").alias("w"), F.col("ts").alias("t"))
     at = F.transform("t", lambda x, i: i)
     if joined:
         marks = [F.lit(x) for x in (NUMBER, NAME, UNIT)]
         at = F.filter(at, lambda i: _begins(F.get(F.col("t"), i), F.coalesce(F.get(F.col("t"), i - 1), F.lit("")), *marks))
-    df = df.select(*keys, F.transform("w", core).alias("w"), "t", at.alias("at"))
+    df = df.select(*keys, F.transform("w", lambda w: F.lower(_core(w))).alias("w"), "t", at.alias("at"))
 
     def values(lo: Column, hi: Column, kind: Column) -> Column:
         run = F.zip_with(F.slice("w", lo + 1, hi - lo), F.slice("t", lo + 1, hi - lo), lambda w, t: F.when(t == kind, w))
@@ -155,7 +160,8 @@ def find_leaks(
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).distinct()
-    it = _hashed(it.where("t is not null"), ["item_id", "t"], "t", True)
+    # Written first: filters on what is computed from the words would be pushed down and evaluate them anew for each place they name.
+    it, _ = materialise(_hashed(it.where("t is not null"), ["item_id", "t"], "t", True), "item-words")
     marks = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT, "")]
     literals = F.size(F.filter("h", lambda x: ~x.isin(*marks)))
     joined = (F.size("h") >= WINDOW) | (literals >= LITERALS)
@@ -178,11 +184,11 @@ def _find(d: DataFrame, it: DataFrame, joined: bool, coverage: float, agreement:
     hits = None
     for width in widths:
         mine = it.where(F.least("n", F.lit(WINDOW)) == width)
+        # The outer form, as the plain one gets a filter that the optimizer would push below the doubling and evaluate anew.
         sought = _windows(_hashed(mine, ["item_id"], "t", joined), ["item_id"], width)
-        sought = sought.select("item_id", F.size("w").alias("n_windows"), F.posexplode("w").alias("ipos", "w"))
+        sought = sought.select("item_id", F.size("w").alias("n_windows"), F.posexplode_outer("w").alias("ipos", "w"))
         sought, _ = materialise(sought, "items")
         small = sought.count() <= broadcast_windows
-        # The outer form, as the plain one gets a filter that the optimizer would push below the doubling and evaluate anew.
         there = _windows(dh, keys, width).select(*keys, F.posexplode_outer("w").alias("dpos", "w"))
         found = there.join(F.broadcast(sought) if small else sought, "w")
         found = found.select(*keys, "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).cast("long").alias("shift"), F.lit(width).alias("width"))
